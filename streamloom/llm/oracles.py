@@ -8,6 +8,37 @@ _PHRASES = (
     "all rights reserved|licensed under|copyright|cookie|terms of use|privacy policy|subscribe|javascript|click here|lorem ipsum"
 )
 
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{_ITEM_WORD}') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '{_ITEM_WORD}') AS ws FROM benchmark
+), bw AS (
+  SELECT item_id, least(len(ws), 8) AS n, ws, unnest(range(1, len(ws) - least(len(ws), 8) + 2)) AS i
+  FROM b WHERE len(ws) > 0
+), items AS (
+  SELECT DISTINCT n, array_to_string(ws[i:i + n - 1], ' ') AS g, item_id FROM bw
+), sizes AS (
+  SELECT DISTINCT n FROM items
+), dw AS (
+  SELECT rid, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n
+), hits AS (
+  SELECT rid, i, n, item_id
+  FROM (SELECT rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM dw) JOIN items USING (n, g)
+), words AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid
+), by_item AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN by_item USING (rid)
+"""
+
 OP2 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
@@ -60,5 +91,6 @@ FROM m
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontaminate": OP1,
         "op2_quality_rules": OP2,
     }
