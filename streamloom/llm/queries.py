@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules
+from . import chat_format, decontaminate, quality_rules, shuffle
 from .common import table
 
 
@@ -27,8 +27,35 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs).drop("cleaned", "lost_chars")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    turns = turns.unionByName(extra).withColumn("parts", chat_format.text_part(F.col("text")))
+    back = chat_format.read_back(chat_format.format_conversations(turns))
+    return back.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op8_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shuffle.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_quality_rules": op2_quality_rules,
+        "op5_chat_format": op5_chat_format,
+        "op8_shuffle": op8_shuffle,
     }
