@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, quality_rules, shuffle
+from . import chat_format, decontaminate, quality_rules, shuffle, simhash
 from .common import table
 
 
@@ -48,6 +48,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,5 +62,6 @@ def queries() -> dict:
         "op1_decontaminate": op1_decontaminate,
         "op2_quality_rules": op2_quality_rules,
         "op5_chat_format": op5_chat_format,
+        "op7_simhash": op7_simhash,
         "op8_shuffle": op8_shuffle,
     }
