@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, quality_rules, shuffle, simhash
+from . import chat_format, decontaminate, packing, quality_rules, shuffle, simhash, token_counts
 from .common import table
 
 
@@ -27,6 +28,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs).drop("cleaned", "lost_chars")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cut="free")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -57,11 +63,18 @@ def op8_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), cut="led")
+
+
 def queries() -> dict:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_quality_rules": op2_quality_rules,
+        "op3_packing": op3_packing,
         "op5_chat_format": op5_chat_format,
         "op7_simhash": op7_simhash,
         "op8_shuffle": op8_shuffle,
+        "op10_token_counts": op10_token_counts,
     }
