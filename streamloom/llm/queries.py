@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_rules, shuffle, simhash, token_counts
+from . import chat_format, decontaminate, packing, quality_rules, shuffle, simhash, token_counts, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -74,6 +78,7 @@ def queries() -> dict:
         "op2_quality_rules": op2_quality_rules,
         "op3_packing": op3_packing,
         "op5_chat_format": op5_chat_format,
+        "op6_warc": op6_warc,
         "op7_simhash": op7_simhash,
         "op8_shuffle": op8_shuffle,
         "op10_token_counts": op10_token_counts,
