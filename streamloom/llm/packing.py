@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +39,15 @@ K1, B = 1.2, 0.75
 
 
 def _tokenize(path: str, cut: str, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, cut)
         end = np.array([end_id], own.kind).tobytes()
         for batch in batches:
-            ids = [x + end for x in own.ids(batch["text"].fillna(""))]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "ids": ids,
-                    "n": [len(x) // own.kind.itemsize for x in ids],
-                    "place": np.arange(len(ids)),  # deals rows that are alike to different shards
-                }
+            ids = [x + end for x in own.ids(t.as_py() or "" for t in batch.column("text"))]
+            sizes = pa.array([len(x) // own.kind.itemsize for x in ids], pa.int64())
+            place = pa.array(np.arange(len(ids)))  # deals rows that are alike to different shards
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(ids, pa.binary()), sizes, place], ["doc_id", "ids", "n", "place"]
             )
 
     return run
@@ -134,22 +132,22 @@ def pack_documents(docs: list[np.ndarray], index: ShardIndex) -> list[tuple[int,
 
 
 def _pack(kind: np.dtype, idf: np.ndarray, mean_length: float):
-    def run(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["doc_id", "ids", "place"], kind="stable")
-        docs = [np.frombuffer(x, kind) for x in shard["ids"]]
-        names, number = shard["doc_id"].to_numpy(), int(shard["shard"].iloc[0])
+    def run(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("doc_id", "ascending"), ("ids", "ascending"), ("place", "ascending")])
+        docs = [np.frombuffer(x.as_py(), kind) for x in shard.column("ids")]
+        number = shard.column("shard")[0].as_py()
         pieces = pack_documents(docs, ShardIndex(docs, idf, mean_length))
-        who = np.array([p[0] for p in pieces], np.int64)
-        out = pd.DataFrame(pieces, columns=["k", "start", "length", "sequence", "offset"]).astype("int64")
-        return pd.DataFrame(
+        who, start, length, sequence, offset = np.array(pieces, np.int64).T
+        marks = [zlib.crc32(docs[k][s : s + n].astype("<u4").tobytes()) for k, s, n, _, _ in pieces]
+        return pa.table(
             {
-                "doc_id": names[who],
-                "start": out["start"],
-                "length": out["length"],
-                "ids_crc32": [zlib.crc32(docs[k][s : s + n].astype("<u4").tobytes()) for k, s, n, _, _ in pieces],
-                "doc_tokens": [len(docs[k]) for k in who],
-                "sequence_id": (number << 32) + out["sequence"],
-                "offset": out["offset"],
+                "doc_id": shard.column("doc_id").take(pa.array(who)),
+                "start": start,
+                "length": length,
+                "ids_crc32": np.array(marks, np.int64),
+                "doc_tokens": np.array([len(docs[k]) for k in who], np.int64),
+                "sequence_id": (number << 32) + sequence,
+                "offset": offset,
             }
         )
 
@@ -170,7 +168,7 @@ def pack(
     width = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = encoder(tokenizer_path, cut).kind
     coded = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
             _tokenize(tokenizer_path, cut, end_id), f"doc_id {kind_of_id}, ids binary, n bigint, place bigint"
         ),
         "ids",
@@ -191,4 +189,4 @@ def pack(
         f"doc_id {kind_of_id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
         "sequence_id bigint, offset bigint"
     )
-    return dealt.groupBy("shard").applyInPandas(_pack(kind, idf, mean_length), schema)
+    return dealt.groupBy("shard").applyInArrow(_pack(kind, idf, mean_length), schema)

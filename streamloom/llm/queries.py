@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, packing, quality_rules, shuffle, simhash, token_counts, warc
+from . import (
+    chat_format,
+    decontaminate,
+    language_id,
+    packing,
+    quality_model,
+    quality_rules,
+    shuffle,
+    simhash,
+    token_counts,
+    warc,
+)
 from .common import table
 
 
@@ -33,6 +44,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cut="free")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -67,6 +83,11 @@ def op8_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), cut="led")
@@ -77,9 +98,11 @@ def queries() -> dict:
         "op1_decontaminate": op1_decontaminate,
         "op2_quality_rules": op2_quality_rules,
         "op3_packing": op3_packing,
+        "op4_language_id": op4_language_id,
         "op5_chat_format": op5_chat_format,
         "op6_warc": op6_warc,
         "op7_simhash": op7_simhash,
         "op8_shuffle": op8_shuffle,
+        "op9_quality_model": op9_quality_model,
         "op10_token_counts": op10_token_counts,
     }
