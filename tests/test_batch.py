@@ -1,0 +1,227 @@
+import math
+import random
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from streamloom import Session
+from streamloom.functions.buckets import bucket_ns, bucket_of
+from streamloom.functions.tags import printed, tags_of, topic_of
+from streamloom.model import as_json, create_record, records_from_json
+from streamloom.operators import alarm as alarms
+from streamloom.operators.aggregates import AGGREGATES, register_aggregate
+from streamloom.operators.late import drop_late
+from streamloom.operators.ordered import deduplicate, numbered
+from streamloom.operators.routing import combinations, publishers, subscribers_of
+from streamloom.plans.alarm_grammar import parse_alarm
+from streamloom.plans.compiler import COMPUTATIONS, register_computation
+from streamloom.plans.expr import ExpressionError, Raw
+from streamloom.sinks import render, write_json_lines, write_log
+from streamloom.sources import json_lines, replay_log, text_lines
+from streamloom.streaming.stateful import holds
+
+from .helpers import NS, START, seconds, stream
+
+SERIES = [(0, 1), (2, 2), (4, 3), (8, 10), (12, 20), (13, 5), (25, 7), (40, 9)]
+
+
+def run(spark, rows, expression, **options):
+    out = Session(stream(spark, rows)).query(expression, **options)
+    return sorted((seconds(r.ts_ns), r.num) for r in out.collect())
+
+
+def fired(spark, rows, definition):
+    out = Session(stream(spark, rows)).query(f"alarm({definition})")
+    return sorted(seconds(r.ts_ns) for r in out.collect())
+
+
+@pytest.mark.parametrize(
+    ("agg", "want"),
+    [
+        ("avg", [2.0, 35 / 3, 7.0, 9.0]),
+        ("sum", [6.0, 35.0, 7.0, 9.0]),
+        ("min", [1.0, 5.0, 7.0, 9.0]),
+        ("max", [3.0, 20.0, 7.0, 9.0]),
+        ("count", [3.0, 3.0, 1.0, 1.0]),
+    ],
+)
+def test_centred_buckets(spark, agg, want):
+    rows = [("s", t, v) for t, v in SERIES]
+    got = run(spark, rows, f"{agg}(s, 10s)")
+    assert [t for t, _ in got] == [0, 10, 30, 40]
+    assert [v for _, v in got] == pytest.approx(want)
+    assert [t for t, _ in run(spark, rows, f"{agg}(s, 10s)", closed_only=True)] == [0, 10]
+
+
+def test_bad_payloads_count_as_zero(spark):
+    rows = [("s", 0, "abc"), ("s", 1, "3")]
+    for agg, want in {"sum": 3, "avg": 1.5, "min": 0, "max": 3, "count": 2}.items():
+        assert run(spark, rows, f"{agg}(s, 10s)") == [(0, want)]
+    odd = [("s", 0, x) for x in (" 2 ", "1d", "0x10", "", "1e400", ".5", "5.", "+1")]
+    assert run(spark, odd[:4], "sum(s, 10s)") == [(0, 0)]
+    assert run(spark, odd[4:5], "sum(s, 10s)") == [(0, math.inf)]
+    assert run(spark, odd[5:], "sum(s, 10s)") == [(0, 6.5)]
+    assert run(spark, [("s", 0, "NaN"), ("s", 1, "4")], "max(s, 10s)") == [(0, 4)]
+    assert run(spark, [("s", 0, "NaN")], "min(s, 10s)") == [(0, math.inf)]
+
+
+def test_bucket_labels_are_exact(spark):
+    rng = random.Random(5)
+    periods = [7 * NS, 3600 * NS, 604800 * NS, 1, 13, 999_999_937]
+    times = [rng.randrange(-(10**18), 4 * 10**18) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in times], "t bigint")
+    for p in periods:
+        for r in df.select("t", bucket_ns(F.col("t"), p).alias("b")).collect():
+            assert r.b == bucket_of(r.t, p)
+            assert abs(r.b - r.t) * 2 <= p
+
+
+def test_nesting_empty_and_errors(spark):
+    rows = [("s{a=1,b=2}", t, v) for t, v in SERIES]
+    assert run(spark, rows, "max(avg(s{a=1,b=2}, 10s), 1h)") == [(0, pytest.approx(35 / 3))]
+    assert run(spark, rows, "avg(none, 10s)") == []
+    for bad in ("nope(s, 5s)", "avg(s)", "avg(s, 0s)"):
+        with pytest.raises((ExpressionError, ValueError)):
+            Session(stream(spark, rows)).query(bad)
+
+
+def test_alarm_cases(spark):
+    one = [("s", i, v) for i, v in enumerate([16, 17, 18, 14, 20])]
+    assert fired(spark, one, "s > 15 times 3") == [2]
+    assert fired(spark, one[:2], "s > 15 times 3") == []
+    assert fired(spark, one, "s > 15 times 0") == []
+    assert fired(spark, [("s", i, 20) for i in range(3)], "s > 15") == [0, 1, 2]
+    assert fired(spark, [("a", 0, 20), ("b", 1, 1), ("b", 2, 1)], "a > 15 and b < 2") == [1, 2]
+    mixed = [("b", 0, 5), ("a", 1, 9), ("c", 2, 0), ("a", 3, 0), ("c", 4, 7)]
+    assert fired(spark, mixed, "a > 1 or b > 1 and c > 1") == [1, 2, 4]
+
+
+def test_alarm_message_values_and_strictness(spark):
+    rows = [("a", 0, 20), ("b", 1, 1), ("a", 2, 30)]
+    got = Session(stream(spark, rows)).query("alarm(a > 15 and b < 2 or a > 25 times 2)").orderBy("ts_ns").collect()
+    assert [r["values"] for r in got] == [{"a": [0.0, 0.0], "b": [1.0]}, {"a": [20.0, 30.0], "b": [1.0]}]
+    assert got[1].data.endswith("fired with values map[a:[20.0 30.0] b:[1.0]]")
+    text = [("a", 0, "word"), ("a", 1, 20)]
+    assert fired(spark, text, "a > 15") == [1]
+    with pytest.raises(PySparkException):
+        Session(stream(spark, text)).query("alarm(a > 15)", strict=True).collect()
+
+
+def test_alarm_in_slices_agrees_with_replay(spark):
+    rng = random.Random(11)
+    definition = "a > 5 times 3 or b <= 4 times 2 and (c < 7 or a >= 2)"
+    alarm = parse_alarm(definition)
+    for _ in range(3):
+        rows = [(rng.choice("abc"), i, rng.randrange(10)) for i in range(120)]
+        source = stream(spark, rows)
+        inputs = {n: source.where(F.col("topic") == n) for n in "abc"}
+        got = sorted(r.ts_ns for r in alarms.fire(alarm, inputs, "x", [], slice_rows=7).collect())
+        seen, want = {n: [] for n in "abc"}, []
+        for name, second, v in rows:
+            seen[name].append(float(v))
+            if holds(alarm.tree, seen):
+                want.append((START + second) * NS)
+        assert got == want
+
+
+def test_match_instances_and_keys(spark):
+    ids = ["s1{t1=v1,t2=a,t3=1,t4=x}", "s2{t1=v1,t2=a,t3=1,t4=x}", "s1{t1=v1,t2=b,t3=1,t4=y}", "s2{t1=v1,t2=a,t3=2,t4=x}"]
+    source = stream(spark, [(s, i, 1) for i, s in enumerate(ids)])
+    topics = [Raw("s1", (("t1", "v1"),)), Raw("s2", (("t1", "v1"),))]
+    got = {tuple(r) for r in combinations(source, topics, ["t2", "t3"]).collect()}
+    assert got == {("a", "1"), ("b", "1"), ("a", "2")}
+    out = Session(source).query("match(s1{t1=v1}, s2{t1=v1} by t2, t3 in alarm(avg(%s, 10s)<2 and avg(%s, 10s)>0))")
+    assert {(r.by_t2, r.by_t3) for r in out.collect()} == {("a", "1")}
+    sums = Session(source).query("match(s1 by t2 in sum(%s, 1h))").collect()
+    assert {(r.by_t2, r.num) for r in sums} == {("a", 1.0), ("b", 1.0)}
+
+
+def test_routing_by_tag_subset(spark):
+    subs = spark.createDataFrame([("test", "a"), ("test", "b"), ("test{t1=v1,t2=v2}", "c"), ("test{t1=v1}", "d"), ("test2", "e")], "stream_id string, who string")
+    assert {r.who for r in subscribers_of(subs, F.lit("test{t1=v1}")).collect()} == {"a", "b", "d"}
+    pubs = stream(spark, [(s, 0, 1) for s in ("test", "test{t1=v1,t2=v2}", "test{t1=v1}", "test{t1=v2}", "test2{t1=v1}")])
+    heard = {r.stream_id for r in publishers(pubs, Raw("test", (("t1", "v1"),))).collect()}
+    assert heard == {"test{t1=v1,t2=v2}", "test{t1=v1}"}
+
+
+def test_tag_columns(spark):
+    df = spark.createDataFrame([("m{b=2,a=1}",), ("m{a,b=2}",), ("m",), ("m{a=1,a=2}",), ("{a=1}",)], "s string")
+    got = [tuple(r) for r in df.select(topic_of(F.col("s")), printed(topic_of(F.col("s")), tags_of(F.col("s")))).collect()]
+    assert got == [("m", "m{a=1,b=2}"), ("m", "m{b=2}"), ("m", "m"), ("m", "m{a=2}"), ("{a=1}", "{a=1}{a=1}")]
+
+
+def test_numbering_maps_and_dedup(spark):
+    rows = [("t", i, str(i)) for i in (3, 1, 2, 5, 4)]
+    out = Session(stream(spark, rows)).query("foo(t)").orderBy("ts_ns").collect()
+    assert [r.data for r in out] == [f"fooized: {n}, state: {n}" for n in range(1, 6)]
+    small = numbered(stream(spark, rows), ["stream_id"], "n", rows=2)
+    assert {(seconds(r.ts_ns), r.n) for r in small.collect()} == {(i, i) for i in range(1, 6)}
+    bar = Session(stream(spark, rows[:1])).query("bar(t)").first()
+    assert (bar.id, bar.data, bar.stream_id) == ("0000", "barized: 3", "bar(t)")
+    four = stream(spark, rows[:3])
+    seen = four.where("id = '0000'")
+    assert sorted(r.id for r in deduplicate(four.unionByName(four), seen).collect()) == ["0001", "0002"]
+
+
+def test_late_records(spark):
+    rows = stream(spark, [("s", 1, 1), ("s", 30, 1), ("s", 5, 1), ("s", 40, 1)]).withColumn("n", F.col("id").cast("long"))
+    assert [r.id for r in drop_late(rows, "n", ["stream_id"]).orderBy("id").collect()] == ["0000", "0001", "0003"]
+    with pytest.raises(PySparkException):
+        drop_late(rows, "n", ["stream_id"], strict=True).collect()
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("  one \ntwo\n")
+    lines = text_lines(spark, str(tmp_path / "in.txt"), "teststdin{a=1}")
+    assert sorted(r.data for r in lines.collect()) == ["one", "two"]
+    assert lines.first().tags == {"a": "1"}
+    assert create_record(spark, "s", "x").first().data == "x"
+    with pytest.raises(ValueError):
+        create_record(spark, "", "x")
+    source = stream(spark, [("a{k=v}", 1, 2), ("b", 2, "x"), ("a", 3, 4)])
+    write_json_lines(source, str(tmp_path / "out"))
+    back = json_lines(spark, str(tmp_path / "out"), fresh=False)
+    assert {(r.id, r.stream_id, r.ts_ns, r.data) for r in back.collect()} == {
+        (r.id, r.stream_id, r.ts_ns, r.data) for r in source.collect()
+    }
+    write_log(source, str(tmp_path / "log"))
+    ns = (START + 2) * NS
+    at = lambda **k: sorted(seconds(r.ts_ns) for r in replay_log(spark, str(tmp_path / "log"), **k).collect())
+    assert at(start_ns=ns) == [2, 3]
+    assert at(stop_ns=ns) == [1]
+    assert at(stop_ns=ns, inclusive=True) == [1, 2]
+    assert [r.value for r in render(source, True).collect()] == ["2.0", "x", "4.0"]
+
+
+def test_json_validation(spark):
+    texts = [
+        '{"stream_id":"a","timestamp":5,"data":3.5}',
+        '{"stream_id":"","timestamp":5}',
+        '{"stream_id":"f(a)","timestamp":5}',
+        '{"stream_id":"a","timestamp":0}',
+        "rubbish",
+        '{"stream_id":"a{x=y}","timestamp":7,"data":{"k":[1]}}',
+    ]
+    got = records_from_json(spark.createDataFrame([(t,) for t in texts], "j string"), F.col("j")).collect()
+    assert [(r.topic, r.ts_ns, r.data, r.num) for r in got] == [("a", 5, "3.5", 3.5), ("a", 7, '{"k":[1]}', None)]
+    assert got[0].id != got[1].id
+
+
+def test_registry(spark):
+    register_aggregate("spread", lambda v: F.max(v) - F.min(v))
+    register_computation("twice", lambda rows, args, keys: rows.unionByName(rows))
+    try:
+        rows = [("s", 0, 1), ("s", 1, 5)]
+        assert run(spark, rows, "spread(s, 10s)") == [(0, 4)]
+        assert run(spark, rows, "sum(twice(s), 10s)") == [(0, 12)]
+        with pytest.raises(ValueError):
+            register_aggregate("match", F.sum)
+    finally:
+        AGGREGATES.pop("spread")
+        COMPUTATIONS.pop("twice")
+
+
+def test_json_of_records(spark):
+    got = stream(spark, [("a", 0, "x")]).select(as_json(stream(spark, [("a", 0, "x")])).alias("j")).first().j
+    assert '"stream_id":"a"' in got and '"data":"x"' in got
