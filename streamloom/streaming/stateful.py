@@ -24,28 +24,48 @@ _NAMES = ["id", "stream_id", "topic", "tags", "ts_ns", "ts", "lwm_ns", "data", "
 
 
 class _Buffered(StatefulProcessor):
-    """Holds records back until the watermark has passed their time, then handles them in order."""
+    """Holds records back until the watermark has passed their time, then handles them in order.
+
+    A key has one timer, at its earliest waiting record; when it expires all
+    that the watermark has passed is released in one pass.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "ms bigint, ts_ns bigint, id string, k int", _RECORD)
+        self.next = handle.getValueState("next", "ms bigint")
+
+    def _wake(self, ms: int) -> None:
+        self.next.update((ms,))
+        self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        seen = set()
+        first = None
         for r in rows:
             ms = r.ts_ns // 1_000_000 + 1
             self.waiting.updateValue((ms, r.ts_ns, r.id, r["_k"]), tuple(r[n] for n in _NAMES))
-            seen.add(ms)
-        for ms in seen:
-            self.handle.registerTimer(ms)
+            first = ms if first is None else min(first, ms)
+        if first is not None:
+            planned = self.next.get()[0] if self.next.exists() else None
+            if planned is None or first < planned:
+                if planned is not None:
+                    self.handle.deleteTimer(planned)
+                self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        ready = sorted((k for k in self.waiting.keys() if k[0] <= due), key=lambda k: (k[1], k[2], k[3]))
-        for k in ready:
-            record = self.waiting.getValue(tuple(k))
-            self.waiting.removeKey(tuple(k))
+        due = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        ready, later = [], None
+        for k, record in self.waiting.iterator():
+            if k[0] <= due:
+                ready.append((tuple(k), record))
+            else:
+                later = k[0] if later is None else min(later, k[0])
+        self.next.clear()
+        if later is not None:
+            self._wake(later)
+        for k, record in sorted(ready, key=lambda x: x[0][1:]):
+            self.waiting.removeKey(k)
             yield from self.released(key, k[3], record)
 
     def released(self, key, k: int, record: Row) -> Iterator[Row]:
@@ -89,12 +109,19 @@ class _Watch(_Buffered):
     def _values(self, k: int) -> list[float]:
         return list(self.last.getValue((k,))[0]) if self.last.containsKey((k,)) else []
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.now = [self._values(i) for i in range(len(self.names))]
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        for i, values in enumerate(self.now):
+            if values:
+                self.last.updateValue((i,), (values,))
+
     def released(self, key, k: int, record: Row) -> Iterator[Row]:
         record = dict(zip(_NAMES, tuple(record), strict=True))
         if record["num"] is None:
             return
-        self.last.updateValue((k,), ([*self._values(k), record["num"]][-self.far :],))
-        last = {name: self._values(i) for i, name in enumerate(self.names)}
+        self.now[k] = [*self.now[k], record["num"]][-self.far :]
+        last = dict(zip(self.names, self.now, strict=True))
         if not holds(self.alarm.tree, last):
             return
         told = []
