@@ -70,6 +70,12 @@ def _entry(length: Column, fp: Column, place: Column, windows: Column) -> Column
     )
 
 
+def _short_entries(h: Column, n: int) -> Column:
+    """Every run of ``n`` words, which is fingerprint and window at once."""
+    found = _each(F.size(h), n, lambda i: _run(h, i, n))
+    return F.transform(found, lambda x, i: _entry(F.lit(n), x, i, F.array(x)))
+
+
 def _doc_entries(words: Column, short: list[int]) -> Column:
     """The selected fingerprints of a document, each with the hashes of the windows that can hold it.
 
@@ -94,10 +100,7 @@ def _doc_entries(words: Column, short: list[int]) -> Column:
                 lambda p: _entry(F.lit(WINDOW), F.get(g, p), p, F.array(*[F.get(w, p - j) for j in range(SPAN)])),
             ),
         ]
-        for n in short:
-            found = _each(F.size(h), n, lambda i, n=n: _run(h, i, n))
-            entries.append(F.transform(found, lambda x, i, n=n: _entry(F.lit(n), x, i, F.array(x))))
-        return F.concat(*entries)
+        return F.concat(*entries, *[_short_entries(h, n) for n in short])
 
     return _hashed(words, body)
 
@@ -217,15 +220,16 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     bad = materialize(
         find_hits(docs, items, id_col, text_col)
         .where("contaminated")
-        .select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash"))
+        .select("doc_id", "text_hash")
         .distinct(),
         "contaminated",
     )
-    if bad.count() <= BROADCAST_ENTRIES:
+    name, bad_id, bad_hash = (fresh(docs, x) for x in ("_text_hash", "_bad_id", "_bad_hash"))
+    n_bad, bad = bad.count(), bad.toDF(bad_id, bad_hash)
+    if n_bad <= BROADCAST_ENTRIES:
         bad = F.broadcast(bad)
-    name = fresh(docs, "_text_hash")
     return (
         docs.withColumn(name, F.xxhash64(F.col(text_col)))
-        .join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.col(name) == F.col("_bad_hash")), "left_anti")
+        .join(bad, F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.col(name) == F.col(bad_hash)), "left_anti")
         .drop(name)
     )

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_left_join
+from .common import fresh, materialize, salted_left_join
 from .graph import components
 
 SHINGLE = 3
@@ -228,21 +228,22 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id is its own keeper only where its component has no id.
     """
     found = materialize(near_duplicates(docs, id_col, text_col), "components")
+    gone_id, again_id = fresh(docs, "_gone_id"), fresh(docs, "_again_id")
     gone = materialize(
-        found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id")).distinct(),
+        found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone_id)).distinct(),
         "gone",
     )
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(side, F.col(id_col) == F.col("_gone_id"), "left_anti")
+    kept = docs.join(side, F.col(id_col) == F.col(gone_id), "left_anti")
     again = materialize(
-        found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")),
+        found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(again_id)),
         "again",
     )
     n_again = again.count()
     if not n_again:
         return kept
     side = F.broadcast(again) if n_again <= BROADCAST_IDS else again
-    same = F.col(id_col).eqNullSafe(F.col("_again"))
+    same = F.col(id_col).eqNullSafe(F.col(again_id))
     return kept.join(side, same, "left_anti").unionByName(
         kept.join(side, same, "left_semi").dropDuplicates([id_col])
     )
