@@ -1,11 +1,14 @@
 """Tokenizers on the executors, with a bounded memo of pieces.
 
 A text is cut where the tokenizer surely cuts it, so each piece can be encoded
-by the library alone and repeated pieces only once per worker:
+by the library alone, and repeated pieces only once per worker:
 
 * ``led``: byte-level BPE, where a single space between non-spaces starts the
-  next piece and belongs to it;
-* ``free``: vocabularies that drop white space, where any space parts pieces;
+  next piece and belongs to it; a point or comma between an ASCII letter and
+  such a space is a token of its own;
+* ``free``: vocabularies in lower case that drop white space, where any space
+  parts pieces; a point or comma between an ASCII letter and white space is
+  parted too, and plain ASCII texts are lower-cased first;
 * ``whole``: no cutting, for any other tokenizer file.
 """
 
@@ -19,13 +22,18 @@ import numpy as np
 import tokenizers
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers; it starts anew beyond.
-MEMO_PIECES = 500_000
+#: Pieces that a worker remembers; later ones are encoded again in each block.
+MEMO_PIECES = 1_000_000
 #: Characters that are cut into pieces at one time.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 2_000_000
+#: New pieces that go to the library as one text.
+JOINED_PIECES = 500
 
 _ODD = re.compile(r"^ | \Z|\s | \s")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+# the sign comes first in these, so that a search runs along the text to the next sign
+_LED_CLOSING = re.compile(r"[.,](?<=[A-Za-z].)(?= \S)")
+_FREE_CLOSING = re.compile(r"[.,](?<=[A-Za-z].)(?=\s)")
 _loaded: dict[str, Tokenizer] = {}
 
 
@@ -41,13 +49,17 @@ def version_digest(path: str) -> str:
         return hashlib.sha256(f.read() + b"\0tokenizers " + tokenizers.__version__.encode()).hexdigest()
 
 
-def cut_led(text: str) -> list[str]:
-    """The pieces of ``text`` without their leading space; only the first has none of its own."""
-    return _BETWEEN.split(text) if _ODD.search(text) else text.split(" ")
+def cut_led(text: str) -> tuple[list[str], int]:
+    """The pieces of ``text`` without their leading space (only the first has none of its own), and the tokens apart."""
+    text, apart = _LED_CLOSING.subn("", text)
+    return _BETWEEN.split(text) if _ODD.search(text) else text.split(" "), apart
 
 
 def cut_free(text: str) -> list[str]:
-    return [p for p in text.replace("\n", " ").split(" ") if p]
+    """The pieces of ``text``; some may be empty."""
+    if text.isascii() and "<|" not in text:  # a special token is found before lower-casing
+        text = text.lower()
+    return _FREE_CLOSING.sub(r" \g<0>", text).replace("\n", " ").split(" ")
 
 
 def blocks(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -63,52 +75,92 @@ def blocks(texts: Iterable[str]) -> Iterator[list[str]]:
         yield block
 
 
+class _Memo(dict):
+    """Values of known pieces; asking for another notes it and gives None."""
+
+    def __init__(self) -> None:
+        self.asked: set[str] = set()
+
+    def __missing__(self, piece: str) -> None:
+        self.asked.add(piece)
+
+
 class Encoder:
     """Encodes whole texts without added special tokens."""
 
     def __init__(self, path: str, cut: str) -> None:
-        self.tokenizer, self.cut, self.memo = load(path), cut, {}
+        self.tokenizer, self.cut, self.memo = load(path), cut, _Memo()
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536
         self.kind = np.dtype("<u4" if self.wide else "<u2")
+        plain = [
+            (t.content, i)
+            for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())
+            if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)
+        ]
+        self.mark, self.mark_id = plain[-1] if plain else (None, -1)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _remember(self, pieces: set[str], lead: str, value) -> dict:
-        new = list(pieces - self.memo.keys())
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
-            new = list(pieces)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.memo.update(zip(part, map(value, self._encode([lead + p for p in part])), strict=True))
-        return self.memo
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _pieces(self, pieces: list[str], lead: str, packed: bool) -> dict:
+        """Each piece's packed ids or their count.
+
+        Many pieces go to the library as one text, parted by a special token:
+        it splits there before anything else.  Pieces that hold a mark's first
+        two characters go alone.
+        """
+        apart = pieces if self.mark is None else [p for p in pieces if self.mark[:2] in p or self.mark[0] in p[-1:]]
+        out = {p: self._pack(ids) if packed else len(ids) for p, ids in zip(apart, self._encode([lead + p for p in apart]), strict=True)}
+        if self.mark is None:
+            return out
+        joined = [p for p in pieces if p not in out]
+        groups = [joined[k : k + JOINED_PIECES] for k in range(0, len(joined), JOINED_PIECES)]
+        texts = [self.mark.join([lead + p for p in g]) for g in groups]
+        for group, ids in zip(groups, self._encode(texts), strict=True):
+            row = np.array(ids, self.kind)
+            stops = np.append(np.flatnonzero(row == self.mark_id), len(row))
+            starts = np.append(0, stops[:-1] + 1)
+            if packed:
+                data, size = row.tobytes(), self.kind.itemsize
+                cuts = zip((starts * size).tolist(), (stops * size).tolist(), strict=True)
+                out.update((p, data[i:j]) for p, (i, j) in zip(group, cuts, strict=True))
+            else:
+                out.update(zip(group, (stops - starts).tolist(), strict=True))
+        return out
+
+    def _look_up(self, cuts: list[list[str]], lead: str, packed: bool) -> Iterator[list]:
+        """The memo's value of every piece; new pieces are encoded, and remembered while there is room."""
+        memo = self.memo
+        known = memo.__getitem__
+        found = [list(map(known, pieces)) for pieces in cuts]
+        new, memo.asked = memo.asked, set()
+        fresh = self._pieces(list(new), lead, packed)
+        if len(memo) + len(fresh) <= MEMO_PIECES:
+            memo.update(fresh)
+        for pieces, vs in zip(cuts, found, strict=True):
+            yield [fresh[p] if v is None else v for p, v in zip(pieces, vs, strict=True)] if None in vs else vs
 
     def counts(self, texts: Iterable[str]) -> Iterator[int]:
         for block in blocks(texts):
             if self.cut != "led":
                 yield from map(len, self._encode(block))
                 continue
-            cuts = [cut_led(t) for t in block]
+            cuts, apart = zip(*map(cut_led, block), strict=True)
             heads = self._encode([c[0] for c in cuts])
-            memo = self._remember(set().union(*[c[1:] for c in cuts]), " ", len)
-            for head, pieces in zip(heads, cuts, strict=True):
-                yield len(head) + sum(map(memo.__getitem__, pieces[1:]))
+            values = self._look_up([c[1:] for c in cuts], " ", False)
+            for head, rest, own in zip(heads, values, apart, strict=True):
+                yield len(head) + sum(rest) + own
 
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian integers of ``kind``."""
-
-        def pack(ids: list[int]) -> bytes:
-            return np.array(ids, self.kind).tobytes()
-
         for block in blocks(texts):
             if self.cut != "free":
-                yield from map(pack, self._encode(block))
-                continue
-            cuts = [cut_free(t) for t in block]
-            memo = self._remember(set().union(*cuts), "", pack)
-            for pieces in cuts:
-                yield b"".join(map(memo.__getitem__, pieces))
+                yield from map(self._pack, self._encode(block))
+            else:
+                yield from map(b"".join, self._look_up(list(map(cut_free, block)), "", True))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
