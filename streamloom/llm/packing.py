@@ -36,6 +36,8 @@ SEQUENCE = 4096
 #: Tokens in an index shard on average; padding is at most SEQUENCE of them.
 SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
+#: A term in one of so many documents of a shard counts as common.
+COMMON = 16
 
 
 def _tokenize(path: str, cut: str, end_id: int):
@@ -66,28 +68,44 @@ def _document_counts(width: int, kind: np.dtype):
 
 
 class ShardIndex:
-    """Inverted index of the documents of one shard, with BM25 weights on its postings."""
+    """Inverted index of the documents of one shard, with BM25 weights on its postings.
+
+    Terms in at least one of COMMON documents are rows of a dense matrix
+    instead, which is no larger than COMMON times the postings.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
-        terms, owners, weights = [], [], []
-        for k, ids in enumerate(docs):
+        terms, weights = [], []
+        for ids in docs:
             term, tf = np.unique(ids[:-1], return_counts=True)
             norm = K1 * (1 - B + B * (len(ids) - 1) / mean_length)
             terms.append(term.astype(np.int64))
-            owners.append(np.full(len(term), k, np.int64))
-            weights.append(idf[term] * tf * (K1 + 1) / (tf + norm))
+            weights.append((idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32))
         self.n, self.terms = len(docs), terms
-        term = np.concatenate(terms) if terms else np.empty(0, np.int64)
+        term, weight = np.concatenate(terms), np.concatenate(weights)
+        owner = np.repeat(np.arange(self.n), [len(t) for t in terms])
+        count = np.bincount(term, minlength=len(idf))
+        common = np.flatnonzero(count * COMMON >= self.n) if self.n >= COMMON else np.empty(0, np.int64)
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[term] >= 0
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        self.matrix[self.row[term[dense]], owner[dense]] = weight[dense]
+        term, owner, weight = term[~dense], owner[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
-        self.owner, self.weight = np.concatenate(owners)[order], np.concatenate(weights)[order]
+        self.owner, self.weight = owner[order], weight[order]
         self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document against the distinct terms of the seed."""
-        first, last = self.starts[self.terms[seed]], self.starts[self.terms[seed] + 1]
+        own = self.terms[seed]
+        asked = np.zeros(len(self.matrix), np.float32)
+        rows = self.row[own]
+        asked[rows[rows >= 0]] = 1
+        first, last = self.starts[own], self.starts[own + 1]
         size = last - first
         at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.owner[at], self.weight[at], minlength=self.n)
+        return asked @ self.matrix + np.bincount(self.owner[at], self.weight[at], minlength=self.n)
 
 
 def pack_documents(docs: list[np.ndarray], index: ShardIndex) -> list[tuple[int, int, int, int, int]]:
