@@ -2,15 +2,20 @@
 
 Documents are tokenized once, each followed by an end id, and written to the
 shared folder.  Document frequencies of all token ids are counted over the
-whole corpus (a vector as long as the vocabulary).  Documents are dealt at
-random into index shards of a set number of tokens; each shard has a BM25
-inverted index of its own.  A seed document opens a window; the unused
-documents that score best against it fill the window in that order.  The last
-one is cut at the window's end, and its rest opens the next window and is the
-next seed.  So only the last sequence of a shard has padding.
+whole corpus (a vector as long as the vocabulary).  Runs of a set number of
+tokens are index shards, each with a BM25 inverted index of its own.  A seed
+document opens a window; the unused documents of the whole corpus that score
+best against it fill the window in that order.  The last one is cut at the
+window's end, and its rest opens the next window and is the next seed.
 
-A shard's size does not depend on the corpus: a larger corpus has more shards,
-and a seed finds its neighbours among those of its shard.
+A corpus of one shard is packed seed after seed.  A larger one is packed in
+rounds: a block of seeds is asked of every shard, the best of each shard are
+merged into the best of the corpus, and pairs of seed and document are granted
+from the highest score down, each document once.  A seed that used up its list
+before its window is full asks again in the next round.  So neighbours are
+never limited to a shard, and the search grows with the square of the corpus.
+Windows that are open when the documents run out are laid end to end, so only
+the last sequence of all has padding.
 
 Defined results: a null or empty text is its end id alone; repeated rows are
 documents of their own; a null id stays; an empty table gives an empty result;
@@ -29,12 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch_path
 from .tokens import encoder, load
 
 SEQUENCE = 4096
-#: Tokens in an index shard on average; padding is at most SEQUENCE of them.
+#: Tokens in an index shard: bounds what a task holds in memory, not what a seed finds.
 SHARD_TOKENS = 2_000_000
+#: Seeds of one round at most, and rounds that a corpus takes at least.
+SEEDS, ROUNDS = 2048, 16
+#: Scores of a block of seeds that are held at one time.
+BLOCK_SCORES = 2_000_000
+#: Pieces that the driver holds before it writes them.
+PIECES = 500_000
+#: Scores are rounded to this step, and ties inside it are broken differently for each seed.
+STEP = 1e-3
 K1, B = 1.2, 0.75
 #: A term in one of so many documents of a shard counts as common.
 COMMON = 16
@@ -98,14 +111,21 @@ class ShardIndex:
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document against the distinct terms of the seed."""
-        own = self.terms[seed]
-        asked = np.zeros(len(self.matrix), np.float32)
-        rows = self.row[own]
-        asked[rows[rows >= 0]] = 1
-        first, last = self.starts[own], self.starts[own + 1]
-        size = last - first
-        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return asked @ self.matrix + np.bincount(self.owner[at], self.weight[at], minlength=self.n)
+        return self.scores_of([self.terms[seed]])[0]
+
+    def scores_of(self, queries: list[np.ndarray]) -> np.ndarray:
+        """BM25 of every document against each set of distinct terms, as rows."""
+        asked = np.zeros((len(queries), len(self.matrix)), np.float32)
+        for q, own in enumerate(queries):
+            rows = self.row[own]
+            asked[q, rows[rows >= 0]] = 1
+        found = asked @ self.matrix
+        for q, own in enumerate(queries):
+            first, last = self.starts[own], self.starts[own + 1]
+            size = last - first
+            at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            found[q] += np.bincount(self.owner[at], self.weight[at], minlength=self.n)
+        return found
 
 
 def pack_documents(docs: list[np.ndarray], index: ShardIndex) -> list[tuple[int, int, int, int, int]]:
@@ -153,7 +173,6 @@ def _pack(kind: np.dtype, idf: np.ndarray, mean_length: float):
     def run(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by([("doc_id", "ascending"), ("ids", "ascending"), ("place", "ascending")])
         docs = [np.frombuffer(x.as_py(), kind) for x in shard.column("ids")]
-        number = shard.column("shard")[0].as_py()
         pieces = pack_documents(docs, ShardIndex(docs, idf, mean_length))
         who, start, length, sequence, offset = np.array(pieces, np.int64).T
         marks = [zlib.crc32(docs[k][s : s + n].astype("<u4").tobytes()) for k, s, n, _, _ in pieces]
@@ -164,7 +183,7 @@ def _pack(kind: np.dtype, idf: np.ndarray, mean_length: float):
                 "length": length,
                 "ids_crc32": np.array(marks, np.int64),
                 "doc_tokens": np.array([len(docs[k]) for k in who], np.int64),
-                "sequence_id": (number << 32) + sequence,
+                "sequence_id": sequence,
                 "offset": offset,
             }
         )
@@ -172,6 +191,219 @@ def _pack(kind: np.dtype, idf: np.ndarray, mean_length: float):
     return run
 
 
+_TIES = np.tile(np.random.default_rng(5).permutation(1 << 16) / (1 << 16) * STEP, 2)
+#: monotonically_increasing_id keeps the partition above this bit.
+_PART = 33
+_FOUND = "seed bigint, doc bigint, score double, n bigint"
+
+
+def _best(found: pd.DataFrame, top: int) -> pd.DataFrame:
+    found = found.sort_values(["seed", "score", "doc"], ascending=[True, False, True], ignore_index=True)
+    return found[found.groupby("seed").cumcount() < top]
+
+
+def _asked(
+    index: ShardIndex, docs: np.ndarray, sizes: np.ndarray, seeds: dict[int, np.ndarray], top: int
+) -> pd.DataFrame:
+    """The ``top`` documents of one shard for each seed."""
+    names, ties, step = list(seeds), docs % (1 << 16), max(1, BLOCK_SCORES // len(docs))
+    places, kept = [], []
+    for k in range(0, len(names), step):
+        block = names[k : k + step]
+        for seed, row in zip(block, index.scores_of([seeds[x] for x in block]), strict=True):
+            row = np.round(row.astype(np.float64) / STEP) * STEP + _TIES[ties + seed * 40503 % (1 << 16)]
+            at = np.argpartition(-row, top)[:top] if len(row) > top else np.arange(len(row))
+            places.append(at)
+            kept.append(row[at])
+    at = np.concatenate(places)
+    seed = np.repeat(np.array(names, np.int64), min(top, len(docs)))
+    return pd.DataFrame({"seed": seed, "doc": docs[at], "score": np.concatenate(kept), "n": sizes[at]})
+
+
+def _search(kind: np.dtype, shared, top: int, shard_tokens: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, bits, n_docs, base, idf, mean_length = shared.value
+        used = np.unpackbits(bits, count=n_docs).astype(bool)
+        best, docs, names, size = None, [], [], 0
+
+        def merged() -> pd.DataFrame:
+            index, sizes = ShardIndex(docs, idf, mean_length), np.array([len(x) for x in docs])
+            found = _asked(index, np.array(names, np.int64), sizes, seeds, top)
+            return found if best is None else _best(pd.concat([best, found]), top)
+
+        for batch in batches:
+            number = batch.column("number").to_numpy()
+            places = base[number >> _PART] + (number & ((1 << _PART) - 1))
+            for k in np.flatnonzero(~used[places]).tolist():
+                docs.append(np.frombuffer(batch.column("ids")[k].as_py(), kind))
+                names.append(places[k])
+                size += len(docs[-1])
+                if size >= shard_tokens:
+                    best = merged()
+                    docs, names, size = [], [], 0
+        if docs:
+            best = merged()
+        if best is not None:
+            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+
+    return run
+
+
+def _merge(top: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            best = _best(batch if best is None else pd.concat([best, batch]), top)
+        if best is not None:
+            yield best
+
+    return run
+
+
+class Corpus:
+    """The coded documents, numbered from 0 without gaps, and the state of their use."""
+
+    def __init__(self, coded: DataFrame, kind: np.dtype, idf: np.ndarray, mean_length: float, shard_tokens: int) -> None:
+        self.coded, self.kind, self.idf, self.mean_length = coded, kind, idf, mean_length
+        self.shard_tokens = shard_tokens
+        part = F.shiftright("number", _PART).alias("part")
+        counts = sorted((r[0], r[1]) for r in coded.groupBy(part).agg(F.count(F.lit(1))).collect())
+        self.parts, sizes = np.array(counts, np.int64).reshape(-1, 2).T
+        self.first = np.cumsum(sizes) - sizes
+        self.base = np.zeros(self.parts.max() + 1, np.int64)
+        self.base[self.parts] = self.first
+        self.used = np.zeros(sizes.sum(), bool)
+
+    def numbers(self, docs: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.first, docs, "right") - 1
+        return (self.parts[at] << _PART) + docs - self.first[at]
+
+    def read(self, docs: list[int]) -> dict[int, np.ndarray]:
+        """The ids of some documents."""
+        if not docs:
+            return {}
+        wanted = pd.DataFrame({"number": self.numbers(np.array(docs, np.int64)), "doc": docs})
+        side = F.broadcast(self.coded.sparkSession.createDataFrame(wanted, "number bigint, doc bigint"))
+        rows = self.coded.select("number", "ids").join(side, "number").select("doc", "ids").collect()
+        return {r["doc"]: np.frombuffer(bytes(r["ids"]), self.kind) for r in rows}
+
+    def neighbours(self, seeds: dict[int, np.ndarray], top: int) -> pd.DataFrame:
+        """(seed, doc, score, n): the ``top`` unused documents of the whole corpus for the terms of each seed."""
+        spark = self.coded.sparkSession
+        shared = spark.sparkContext.broadcast(
+            (seeds, np.packbits(self.used), len(self.used), self.base, self.idf, self.mean_length)
+        )
+        asked = self.coded.select("number", "ids").mapInArrow(_search(self.kind, shared, top, self.shard_tokens), _FOUND)
+        found = asked.repartition("seed").mapInPandas(_merge(top), _FOUND).toPandas()
+        shared.unpersist()
+        return found
+
+
+class Chain:
+    """A run of windows, of which one is open at a time."""
+
+    def __init__(self) -> None:
+        self.seed, self.terms, self.offset, self.open = None, None, 0, []
+
+
+def _rounds(corpus: Corpus, n_tokens: int, write) -> None:
+    """Hand the pieces (document, start, length, sequence, offset) of the corpus to ``write``."""
+    n_docs, left = len(corpus.used), n_tokens
+    chains = [Chain() for _ in range(max(1, min(SEEDS, n_tokens // SEQUENCE // ROUNDS)))]
+    top = int(min(512, max(32, 8 * SEQUENCE * n_docs // n_tokens)))
+    done, full, tried = [], 0, 0
+    stride = next(s for s in range(int(n_docs * 0.618) + 1, 2 * n_docs + 2) if math.gcd(s, n_docs) == 1)
+
+    def place(chain: Chain, doc: int, total: int) -> None:
+        """Lay the whole document; where its window ends, its rest is the next seed."""
+        nonlocal full, left
+        corpus.used[doc] = True
+        left -= total
+        start = 0
+        while start < total:
+            length = min(total - start, SEQUENCE - chain.offset)
+            chain.open.append((doc, start, length, chain.offset))
+            start, chain.offset = start + length, chain.offset + length
+            if chain.offset == SEQUENCE:
+                done.extend((d, s, n, full, o) for d, s, n, o in chain.open)
+                full += 1
+                chain.open, chain.offset = [], 0
+                chain.seed, chain.terms = (doc if start < total else None), None
+
+    while left:
+        wanted = sum(SEQUENCE - c.offset for c in chains if c.seed is not None)
+        opened = []
+        for chain in chains:
+            if chain.seed is None and (wanted + SEQUENCE <= left or not wanted):
+                while tried < n_docs and corpus.used[tried * stride % n_docs]:
+                    tried += 1
+                if tried < n_docs:
+                    chain.seed, tried, wanted = tried * stride % n_docs, tried + 1, wanted + SEQUENCE
+                    opened.append(chain)
+        ids = corpus.read([c.seed for c in chains if c.seed is not None and c.terms is None])
+        for chain in chains:
+            if chain.seed is not None and chain.terms is None:
+                chain.terms = np.unique(ids[chain.seed][:-1]).astype(np.int64)
+        for chain in opened:
+            seed, terms = chain.seed, chain.terms
+            place(chain, seed, len(ids[seed]))
+            if chain.seed == seed:
+                chain.terms = terms
+        by_seed = {c.seed: c for c in chains if c.seed is not None}
+        if left and by_seed:
+            found = corpus.neighbours({x: c.terms for x, c in by_seed.items()}, top)
+            found = found.sort_values(["score", "seed", "doc"], ascending=[False, True, True])
+            for seed, doc, n in zip(found["seed"].tolist(), found["doc"].tolist(), found["n"].tolist(), strict=True):
+                chain = by_seed.get(seed)
+                if chain is not None and not corpus.used[doc]:
+                    before = full
+                    place(chain, doc, n)
+                    if full != before:
+                        del by_seed[seed]
+        if len(done) >= PIECES:
+            write(done)
+            done.clear()
+    offset = 0
+    for doc, start, length, _ in (piece for chain in chains for piece in chain.open):
+        while length:
+            if offset == SEQUENCE:
+                full, offset = full + 1, 0
+            part = min(length, SEQUENCE - offset)
+            done.append((doc, start, part, full, offset))
+            start, length, offset = start + part, length - part, offset + part
+    if done:
+        write(done)
+
+
+def _marks(kind: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = zip(batch.column("start").to_pylist(), batch.column("length").to_pylist(), strict=True)
+            ids = (np.frombuffer(x.as_py(), kind) for x in batch.column("ids"))
+            marks = [zlib.crc32(x[s : s + n].astype("<u4").tobytes()) for x, (s, n) in zip(ids, cuts, strict=True)]
+            at = batch.schema.get_field_index("ids")
+            yield batch.set_column(at, pa.field("ids_crc32", pa.int64()), pa.array(marks, pa.int64()))
+
+    return run
+
+
+def _pack_in_rounds(corpus: Corpus, n_tokens: int, schema: str) -> DataFrame:
+    spark = corpus.coded.sparkSession
+    path = scratch_path(spark, "pieces")
+    names = ["number", "start", "length", "sequence_id", "offset"]
+
+    def write(pieces: list) -> None:
+        made = pd.DataFrame(np.array(pieces, np.int64), columns=names)
+        made["number"] = corpus.numbers(made["number"].to_numpy())
+        spark.createDataFrame(made).write.mode("append").parquet(path)
+
+    _rounds(corpus, n_tokens, write)
+    pieces = spark.read.schema(", ".join(f"{c} bigint" for c in names)).parquet(path)
+    return pieces.join(corpus.coded, "number").select(
+        "doc_id", "start", "length", "ids", F.col("n").alias("doc_tokens"), "sequence_id", "offset"
+    ).mapInArrow(_marks(corpus.kind), schema)
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -185,12 +417,10 @@ def pack(
     tokenizer = load(tokenizer_path)
     width = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = encoder(tokenizer_path, cut).kind
-    coded = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-            _tokenize(tokenizer_path, cut, end_id), f"doc_id {kind_of_id}, ids binary, n bigint, place bigint"
-        ),
-        "ids",
+    coded = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        _tokenize(tokenizer_path, cut, end_id), f"doc_id {kind_of_id}, ids binary, n bigint, place bigint"
     )
+    coded = materialize(coded.withColumn("number", F.monotonically_increasing_id()), "ids")
     n_docs, n_tokens = coded.agg(F.count(F.lit(1)), F.sum("n")).first()
     counted = coded.select("ids").mapInPandas(_document_counts(width, kind), "id bigint, df bigint")
     df = np.zeros(width)
@@ -199,12 +429,11 @@ def pack(
     n_docs, n_tokens = n_docs or 0, n_tokens or 0
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     mean_length = max(1.0, (n_tokens - n_docs) / max(1, n_docs))
-    n_shards = max(1, math.ceil(n_tokens / SHARD_TOKENS))
-    dealt = coded.withColumn(
-        "shard", F.pmod(F.xxhash64(F.lit(3), "doc_id", "n", "place"), F.lit(n_shards)).cast("int")
-    )
     schema = (
         f"doc_id {kind_of_id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
         "sequence_id bigint, offset bigint"
     )
-    return dealt.groupBy("shard").applyInArrow(_pack(kind, idf, mean_length), schema)
+    if n_tokens > SHARD_TOKENS:
+        return _pack_in_rounds(Corpus(coded, kind, idf, mean_length, SHARD_TOKENS), n_tokens, schema)
+    alone = coded.drop("number").withColumn("shard", F.lit(0))
+    return alone.groupBy("shard").applyInArrow(_pack(kind, idf, mean_length), schema)

@@ -131,6 +131,62 @@ def test_packing_prefers_lexical_neighbours():
     assert sum(pure) / len(pure) > 0.75
 
 
+def test_packing_finds_neighbours_in_every_shard(spark, monkeypatch):
+    words = [f"{a}{b}" for a in ("sun", "rain", "stone", "leaf", "bird", "road") for b in ("er", "ing", "ly", "able")]
+    texts = []
+    for k in range(60):
+        rng = random.Random(k)
+        own = [rng.choice(words) + chr(97 + rng.randrange(26)) * 2 for _ in range(40)]
+        texts.append(" ".join(rng.choice(own) for _ in range(450)))
+    rows = [(10_000 + 977 * k + 31 * c, text) for c in range(2) for k, text in enumerate(texts)]
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 12_000)
+    got = packing.pack(documents(spark, rows), WORD_BPE, cut="free").collect()
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    ids = {d: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4") for d, t in rows}
+    total = sum(map(len, ids.values()))
+    assert total > 5 * packing.SHARD_TOKENS
+    assert sum(r.length for r in got) == total
+    assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in got)
+    windows, of = {}, {}
+    for r in got:
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        of.setdefault(r.doc_id, set()).add(r.sequence_id)
+    for spans in windows.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+    assert sorted(windows) == list(range(-(-total // packing.SEQUENCE)))
+    starts = {d: 0 for d in ids}
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == starts[r.doc_id]
+        starts[r.doc_id] += r.length
+    near = sum(bool(of[rows[k][0]] & of[rows[k + 60][0]]) for k in range(60))
+    assert near > 35  # copies that meet; only seeds look for theirs, and the last place of a window is contested
+
+
+def test_packing_search_recall(spark):
+    rng = np.random.default_rng(3)
+    docs = [np.append(rng.integers(100 * (k % 10), 100 * (k % 10) + 150, 200), 2).astype("<u2") for k in range(300)]
+    df = np.bincount(np.concatenate([np.unique(d[:-1]) for d in docs]), minlength=1200)
+    idf = np.log1p((300 - df + 0.5) / (df + 0.5))
+    coded = spark.createDataFrame([(d.tobytes(), len(d)) for d in docs], "ids binary, n bigint").repartition(3)
+    coded = packing.materialize(coded.withColumn("number", packing.F.monotonically_increasing_id()))
+    corpus = packing.Corpus(coded, np.dtype("<u2"), idf, 200.0, 4000)
+    asked = corpus.read(list(range(0, 300, 6)))
+    every = corpus.read(list(range(300)))
+    assert Counter(x.tobytes() for x in every.values()) == Counter(d.tobytes() for d in docs)
+    corpus.used[list(asked)] = True
+    terms = {s: np.unique(x[:-1]).astype(np.int64) for s, x in asked.items()}
+    found = corpus.neighbours(terms, 10)
+    whole = packing.ShardIndex([every[k] for k in range(300)], idf, 200.0)
+    hits = 0
+    for seed in terms:
+        score = np.where(corpus.used, -1, whole.scores(seed))
+        got = found[found["seed"] == seed]["doc"].to_numpy()
+        assert len(set(got.tolist())) == 10 and not corpus.used[got].any()
+        hits += (score[got] >= np.sort(score)[-10] - 2 * packing.STEP).sum()
+    assert hits == 10 * len(terms)  # recall 1 against one index of the whole corpus
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     rows = nasty()
     docs = documents(spark, rows)
