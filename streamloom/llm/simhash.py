@@ -222,28 +222,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, in the columns of ``docs``.
+    """One row of each component, in the columns of ``docs``: that of the smallest id, nulls last.
 
-    Rows of one id are one document, of which a single row stays.  A row without
-    id is its own keeper only where its component has no id.
+    Rows are told apart by a number of their own, not by their id.  Only where
+    the rows that stay repeat an id, they are one document, of which the row of
+    the least fingerprint stays; rows without id are documents of their own.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col), "components")
-    gone_id, again_id = fresh(docs, "_gone_id"), fresh(docs, "_again_id")
-    gone = materialize(
-        found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone_id)).distinct(),
-        "gone",
-    )
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(side, F.col(id_col) == F.col(gone_id), "left_anti")
+    number, key = fresh(docs, "_number"), fresh(docs, "_row_key")
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    own = F.struct(F.isnull(id_col).alias("void"), F.col(id_col).alias("id"), F.col(number).alias("number"))
+    found = materialize(near_duplicates(rows.withColumn(key, own), key, text_col), "components")
+    at = F.col("doc_id.number")
+    stays = at == F.col("component_id.number")
+    gone = found.where(~stays).select(at.alias(number))
+    keepers = found.where(stays).select(F.col("doc_id.id").alias("id"), at.alias("at"), "fp")
     again = materialize(
-        found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(again_id)),
+        keepers.where(F.col("id").isNotNull())
+        .groupBy("id")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "at")).alias("first"))
+        .where("n > 1")
+        .select("id", F.col("first.at").alias("first")),
         "again",
     )
-    n_again = again.count()
-    if not n_again:
-        return kept
-    side = F.broadcast(again) if n_again <= BROADCAST_IDS else again
-    same = F.col(id_col).eqNullSafe(F.col(again_id))
-    return kept.join(side, same, "left_anti").unionByName(
-        kept.join(side, same, "left_semi").dropDuplicates([id_col])
-    )
+    if again.count():
+        joined = salted_left_join(keepers, again, "id", F.col("at"))
+        gone = gone.unionByName(joined.where(F.col("first") != F.col("at")).select(F.col("at").alias(number)))
+    gone = materialize(gone, "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(side, number, "left_anti").select(*docs.columns)

@@ -84,6 +84,16 @@ def test_salted_join(spark):
     assert got == {(r.k, r.v, r.w) for r in left.join(right, "k", "left").collect()}
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    text = [prose(random.Random(900 + k), 80) for k in range(7)]
+    rows = [(5, text[0]), (7, text[0]), (2, text[1]), (5, text[1])]  # 5 goes as a copy of 2, not as itself
+    rows += [(None, text[k]) for k in (2, 3, 4, 4)] + [(None, text[5]), (8, text[5]), (9, text[6]), (9, text[6])]
+    assert len({c for _, _, c in components([(k, t) for k, (_, t) in enumerate(rows)])}) == 7
+    got = Counter((r.doc_id, r.text) for r in simhash.drop_near_duplicates(documents(spark, rows)).collect())
+    want = [(5, text[0]), (2, text[1]), *[(None, text[k]) for k in (2, 3, 4)], (8, text[5]), (9, text[6])]
+    assert got == Counter(want)
+
+
 def test_packing_covers_every_token_once(spark):
     rows = nasty() + [(300 + i, prose(random.Random(i), 40 * (i % 9))) for i in range(60)]
     docs = documents(spark, rows)
