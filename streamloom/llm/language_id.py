@@ -6,8 +6,9 @@ which side a text is on.  Decoding sums the logistic loss of all bits against
 each codeword, every bit weighted by its reliability in training, and takes the
 codeword of least loss; a small lead over the second marks the text ambiguous.
 
-The classifiers are fitted on the driver on a bounded sample, at most about
-``sample_rows`` texts in equal shares for the languages.
+The classifiers are fitted on the driver on a bounded sample of different
+texts: the least hashes of each language, up to an equal share of
+``sample_rows`` and at least one text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 without any labelled text every prediction is ``und``; with a single language
@@ -22,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +118,21 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(found, pa.binary())], ["lang", "x"])
 
 
+def _least_marks(quota: int):
+    """The ``quota`` least marks of each language in a partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = pd.DataFrame({"lang": [], "mark": []})
+        for batch in batches:
+            best = pd.concat([best, batch]) if len(best) else batch
+            best = best.sort_values(["lang", "mark"])
+            best = best[best.groupby("lang").cumcount() < quota]
+        if len(best):
+            yield best
+
+    return run
+
+
 def fit(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -127,18 +144,21 @@ def fit(
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    model = CodeModel(sorted(counts))
-    if len(counts) < 2:
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    model = CodeModel(languages)
+    if len(languages) < 2:
         return model
-    quota = sample_rows / len(counts)
-    limit = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        limit = F.when(F.col("lang") == lang, min(1.0, quota / n)).otherwise(limit)
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < limit * (1 << 20))
+    quota = max(1, sample_rows // len(languages))
+    marks = rows.select("lang", "mark").distinct()
+    marks = marks.mapInPandas(_least_marks(quota), "lang string, mark bigint").collect()
+    least = {}
+    for lang, mark in marks:
+        least.setdefault(lang, []).append(mark)
+    chosen = [(lang, mark) for lang, found in least.items() for mark in sorted(found)[:quota]]
+    side = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, mark bigint"))
+    drawn = rows.join(side, ["lang", "mark"], "left_semi").groupBy("lang", "mark").agg(F.min("text").alias("text"))
     sample = drawn.mapInArrow(_sample_features, "lang string, x binary").toPandas().sort_values(["lang", "x"])
-    if sample["lang"].nunique() < len(counts):
-        model = CodeModel(sorted(sample["lang"].unique()))
     if len(model.languages) > 1:
         x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(len(sample), DIMS)
         model.fit(x, np.searchsorted(model.languages, sample["lang"].to_numpy()))

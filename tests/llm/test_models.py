@@ -298,6 +298,17 @@ def test_language_codes(spark):
     assert language_id.predict(df, single).first().lang_pred == "l00"
 
 
+def test_language_sample_is_of_different_texts(spark, monkeypatch):
+    rows = [(k, f"word{k} and the text {k * 7}", "aa") for k in range(200)]
+    rows += [(1000 + k, ("ganz kurze worte", "noch ein satz")[k % 2], "bb") for k in range(600)]
+    sizes = []
+    fitted = language_id.CodeModel.fit
+    monkeypatch.setattr(language_id.CodeModel, "fit", lambda m, x, y: (sizes.append(np.bincount(y).tolist()), fitted(m, x, y)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    model = language_id.fit(docs, sample_rows=20)
+    assert model.languages == ["aa", "bb"] and sizes == [[10, 2]]
+
+
 @pytest.mark.parametrize("n", [2, 3, 4, 6, 9, 20])
 def test_codebooks_correct_errors(n):
     code = language_id.codebook(n)
