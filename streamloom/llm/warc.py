@@ -110,16 +110,16 @@ def write_archives(
     headers = materialize(
         digested.where(F.octet_length("html") >= min_bytes).select("digest", "page_id", "url"), "headers"
     )
+    identified = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     originals = (
-        headers.where(F.col("page_id").isNotNull())
-        .groupBy("digest")
-        .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+        headers.groupBy("digest")
+        .agg(F.min(identified).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1 AND first IS NOT NULL")
         .select("digest", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url"))
     )
     joined = salted_left_join(digested, materialize(originals, "originals"), "digest", F.col("page_id"), 5_000)
     long_enough = F.octet_length("html") >= min_bytes
-    revisits = long_enough & (F.col("original") != F.coalesce(F.col("page_id"), F.lit(-1)))
+    revisits = long_enough & (F.col("page_id").isNull() | (F.col("original") != F.col("page_id")))
     cast = [F.when(revisits, F.col(c)).alias(c) for c in ("original", "original_url")]
     ready = joined.select(
         F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", cast[0].cast("string"), cast[1]

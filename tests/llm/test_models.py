@@ -259,6 +259,15 @@ def test_warc_round_trip(spark):
     assert {r.record_type for r in long_only} == {"response"}
 
 
+def test_warc_null_ids_beside_one_page(spark):
+    rows = [(4, "a"), (None, "a"), (None, "a"), (-1, "b"), (None, "b"), (None, "c"), (None, "c"), (6, "d")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id bigint, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.archive(pages).collect())
+    want = [(4, "response", None), (-1, "response", None), (6, "response", None)]
+    want += [(None, "revisit", 4)] * 2 + [(None, "revisit", -1)] + [(None, "response", None)] * 2
+    assert got == Counter(want)
+
+
 def test_broken_archives_are_errors():
     good = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     assert [b for _, b in warc.parse_records(good * 2)] == [b"ab", b"ab"]
