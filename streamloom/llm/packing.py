@@ -1,413 +1,451 @@
 """Lexical retrieval packing into training sequences.
 
 Documents are tokenized once, each followed by an end id, and written to the
-shared folder.  Document frequencies of all token ids are counted over the
-whole corpus (a vector as long as the vocabulary).  Runs of a set number of
-tokens are index shards, each with a BM25 inverted index of its own.  A seed
-document opens a window; the unused documents of the whole corpus that score
-best against it fill the window in that order.  The last one is cut at the
-window's end, and its rest opens the next window and is the next seed.
-
-A corpus of one shard is packed seed after seed.  A larger one is packed in
-rounds: a block of seeds is asked of every shard, the best of each shard are
-merged into the best of the corpus, and pairs of seed and document are granted
-from the highest score down, each document once.  A seed that used up its list
-before its window is full asks again in the next round.  So neighbours are
-never limited to a shard, and the search grows with the square of the corpus.
-Windows that are open when the documents run out are laid end to end, so only
-the last sequence of all has padding.
-
-Defined results: a null or empty text is its end id alone; repeated rows are
-documents of their own; a null id stays; an empty table gives an empty result;
-extra columns are ignored.
+shared folder with their distinct terms (token ids) and term counts.  Document
+frequencies are counted over the whole corpus (a vector as long as the
+vocabulary).  The corpus is dealt by content into index shards of a bounded
+number of tokens and documents, each with a BM25 inverted index of its own: a
+tree of two-means splits, fitted on a bounded sample, routes every document to
+a leaf, and the largest subtrees that fit are shards, so lexical neighbours meet
+in one of them.  A leaf that is larger than a shard, such as a group of copies,
+is dealt over several by a hash.
+
+In a shard some windows are open at a time.  The seed of each asks the index for
+the best unused documents, and pairs of seed and document are granted from the
+highest score down, each document once, until the windows are full.  The last
+document of a window is cut at its end, and its rest opens the next window and
+is the next seed.  Windows that are open when the documents run out are laid end
+to end, so only the last sequence of a shard has padding.
+
+Every document of a shard is scored for every seed: nothing is capped, and the
+work of a document is bounded by the shard's size, so the whole is linear in the
+corpus.  What a seed can't reach is a neighbour in another shard; README.md has
+the measured recall.
+
+Defined results: a null or empty text is its end id alone; a very long text is
+cut over as many windows as it needs and lies in one shard; ties in score are
+broken differently for each seed, by a fixed rule; repeated rows are documents
+of their own; a null id stays; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize
 from .tokens import encoder, load
 
 SEQUENCE = 4096
-#: Tokens in an index shard: bounds what a task holds in memory, not what a seed finds.
-SHARD_TOKENS = 2_000_000
-#: Seeds of one round at most, and rounds that a corpus takes at least.
-SEEDS, ROUNDS = 2048, 16
-#: Scores of a block of seeds that are held at one time.
-BLOCK_SCORES = 2_000_000
-#: Pieces that the driver holds before it writes them.
-PIECES = 500_000
+#: Tokens and documents of an index shard: bound the memory and the work of a task.
+SHARD_TOKENS, SHARD_DOCS = 40_000_000, 32_000
+#: Documents that the routing tree is fitted on, and its leaves at most.
+SAMPLE, LEAVES = 4096, 512
+#: Dimensions of the hashed term vectors that are routed.
+DIMS = 1024
+#: Windows of a shard that are open at a time at most, and rounds that a shard takes at least.
+OPEN, ROUNDS = 192, 12
+#: Documents that are held as dense columns at one time.
+COLUMNS = 2048
+#: Neighbouring scores that are compared by their maximum first.
+RUN = 64
 #: Scores are rounded to this step, and ties inside it are broken differently for each seed.
 STEP = 1e-3
 K1, B = 1.2, 0.75
 #: A term in one of so many documents of a shard counts as common.
 COMMON = 16
 
+CODED = "ids binary, n bigint, terms binary, counts binary"
 
-def _tokenize(path: str, cut: str, end_id: int):
+
+def _tokenize(path: str, cut: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, cut)
         end = np.array([end_id], own.kind).tobytes()
         for batch in batches:
-            ids = [x + end for x in own.ids(t.as_py() or "" for t in batch.column("text"))]
-            sizes = pa.array([len(x) // own.kind.itemsize for x in ids], pa.int64())
-            place = pa.array(np.arange(len(ids)))  # deals rows that are alike to different shards
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.binary()), sizes, place], ["doc_id", "ids", "n", "place"]
-            )
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                ids = list(own.ids(t.as_py() or "" for t in part.column("text")))
+                found = [np.unique(np.frombuffer(x, own.kind), return_counts=True) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array([x + end for x in ids], pa.binary()),
+                        pa.array([len(x) // own.kind.itemsize + 1 for x in ids], pa.int64()),
+                        pa.array([t.tobytes() for t, _ in found], pa.binary()),
+                        pa.array([np.minimum(c, 65_535).astype("<u2").tobytes() for _, c in found], pa.binary()),
+                    ],
+                    ["doc_id", "ids", "n", "terms", "counts"],
+                )
 
     return run
 
 
 def _document_counts(width: int, kind: np.dtype):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(width, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                seen[np.unique(np.frombuffer(ids, kind)[:-1])] += 1
-        at = np.nonzero(seen)[0]
-        yield pd.DataFrame({"id": at, "df": seen[at]})
+            seen += np.bincount(_flat(batch.column("terms"), kind)[0], minlength=width)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["id", "df"])
 
     return run
 
 
+def _flat(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed arrays, and the number of values in each row."""
+    rows = [x.as_py() for x in column]
+    return np.frombuffer(b"".join(rows), kind), np.array([len(x) // kind.itemsize for x in rows], np.int64)
+
+
+class Weights:
+    """BM25 weights of the terms of documents, from statistics of the whole corpus."""
+
+    def __init__(self, kind: np.dtype, idf: np.ndarray, mean_length: float) -> None:
+        self.kind, self.idf, self.mean_length = kind, idf, mean_length
+
+    def of(self, terms: pa.Array, counts: pa.Array, n: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(terms, weights) of all rows, one after the other, and the number of terms in each row."""
+        term, size = _flat(terms, self.kind)
+        tf = _flat(counts, np.dtype("<u2"))[0].astype(np.float32)
+        norm = K1 * (1 - B + B * (np.asarray(n, np.int64) - 1) / self.mean_length)
+        weight = self.idf[term] * tf * (K1 + 1) / (tf + np.repeat(norm, size))
+        return term.astype(np.int64), weight.astype(np.float32), size
+
+    def vectors(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Hashed unit vectors of the rows of a batch."""
+        term, weight, size = self.of(batch.column("terms"), batch.column("counts"), batch.column("n"))
+        at = term * 2_654_435_761 % (1 << 32) * DIMS >> 32
+        at += np.repeat(np.arange(len(size)) * DIMS, size)
+        x = np.bincount(at, weight, len(size) * DIMS).reshape(-1, DIMS).astype(np.float32)
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+
+
+class Router:
+    """A tree of two-means splits."""
+
+    def __init__(self, x: np.ndarray, leaves: int) -> None:
+        self.planes, self.shifts, self.below = [], [], []
+        self.leaves = 0
+        self.root = self._split(x, np.arange(len(x)), leaves)
+        self.planes = np.array(self.planes, np.float32).reshape(-1, x.shape[1])
+        self.shifts = np.array(self.shifts, np.float32)
+
+    def _leaf(self) -> int:
+        self.leaves += 1
+        return -self.leaves  # leaf k is the node -1 - k
+
+    def _split(self, x: np.ndarray, rows: np.ndarray, leaves: int) -> int:
+        own = x[rows]
+        if leaves < 2 or len(rows) < 8:
+            return self._leaf()
+        mean = own.mean(axis=0)
+        left = own[((own - mean) ** 2).sum(axis=1).argmax()]
+        right = own[((own - left) ** 2).sum(axis=1).argmax()]
+        for _ in range(12):
+            plane, shift = left - right, (left @ left - right @ right) / 2
+            side = own @ plane > shift
+            if side.all() or not side.any():
+                return self._leaf()
+            left, right = own[side].mean(axis=0), own[~side].mean(axis=0)
+        side = own @ plane > shift
+        if side.all() or not side.any():
+            return self._leaf()
+        node = len(self.planes)
+        self.planes.append(plane)
+        self.shifts.append(shift)
+        self.below.append((0, 0))
+        share = min(leaves - 1, max(1, round(leaves * side.mean())))
+        self.below[node] = (
+            self._split(x, rows[side], share),
+            self._split(x, rows[~side], leaves - share),
+        )
+        return node
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        at = np.full(len(x), self.root)
+        if len(self.planes):
+            side, below = x @ self.planes.T > self.shifts, np.array(self.below)
+            inner = np.flatnonzero(at >= 0)
+            while len(inner):
+                node = at[inner]
+                at[inner] = below[node, np.where(side[inner, node], 0, 1)]
+                inner = inner[at[inner] >= 0]
+        return -1 - at
+
+
+def deal(router: Router, sizes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first shard, shards) of each leaf, from the (documents, tokens) of the leaves.
+
+    The largest subtrees that fit are shards; a leaf that does not fit has several.
+    """
+    out: list[tuple[int, int]] = [(0, 1)] * router.leaves
+    shards = 0
+
+    def leaves(node: int) -> list[int]:
+        return [-1 - node] if node < 0 else [x for n in router.below[node] for x in leaves(n)]
+
+    def visit(node: int) -> None:
+        nonlocal shards
+        own = leaves(node)
+        docs, tokens = (sum(sizes[k][i] for k in own) for i in (0, 1))
+        parts = max(1, -(-tokens // SHARD_TOKENS), -(-docs // SHARD_DOCS))
+        if parts > 1 and node >= 0:
+            for n in router.below[node]:
+                visit(n)
+            return
+        for k in own:
+            out[k] = (shards, parts)
+        shards += parts
+
+    visit(router.root)
+    return out
+
+
 class ShardIndex:
     """Inverted index of the documents of one shard, with BM25 weights on its postings.
 
-    Terms in at least one of COMMON documents are rows of a dense matrix
-    instead, which is no larger than COMMON times the postings.
+    Terms in at least one of COMMON documents are scored by matrix products, on
+    dense columns of COLUMNS documents at a time.
     """
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> None:
-        terms, weights = [], []
-        for ids in docs:
-            term, tf = np.unique(ids[:-1], return_counts=True)
-            norm = K1 * (1 - B + B * (len(ids) - 1) / mean_length)
-            terms.append(term.astype(np.int64))
-            weights.append((idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32))
-        self.n, self.terms = len(docs), terms
-        term, weight = np.concatenate(terms), np.concatenate(weights)
-        owner = np.repeat(np.arange(self.n), [len(t) for t in terms])
-        count = np.bincount(term, minlength=len(idf))
+    def __init__(self, term: np.ndarray, weight: np.ndarray, size: np.ndarray, width: int) -> None:
+        self.n, self.term, self.weight, self.size = len(size), term, weight, size
+        self.start = np.append(0, np.cumsum(size))
+        owner = np.repeat(np.arange(self.n), size)
+        count = np.bincount(term, minlength=width)
         common = np.flatnonzero(count * COMMON >= self.n) if self.n >= COMMON else np.empty(0, np.int64)
-        self.row = np.full(len(idf), -1)
+        self.row = np.full(width, -1)
         self.row[common] = np.arange(len(common))
-        dense = self.row[term] >= 0
-        self.matrix = np.zeros((len(common), self.n), np.float32)
-        self.matrix[self.row[term[dense]], owner[dense]] = weight[dense]
+        self.n_common = len(common)
+        row = self.row[term]
+        dense = row >= 0
+        self.d_row, self.d_owner, self.d_weight = row[dense].astype(np.int32), owner[dense], weight[dense]
+        edges = np.arange(0, self.n + COLUMNS, COLUMNS)
+        self.d_start = np.searchsorted(self.d_owner, edges)
         term, owner, weight = term[~dense], owner[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        self.starts = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.owner, self.rare = owner[order].astype(np.int32), weight[order]
+        self.starts = np.searchsorted(term[order], np.arange(width + 1))
+
+    def terms(self, k: int) -> np.ndarray:
+        """The distinct terms of a document."""
+        return self.term[self.start[k] : self.start[k + 1]]
 
-    def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document against the distinct terms of the seed."""
-        return self.scores_of([self.terms[seed]])[0]
+    def without(self, used: np.ndarray) -> ShardIndex:
+        """The index of the documents that are not used."""
+        stay = np.repeat(~used, self.size)
+        return ShardIndex(self.term[stay], self.weight[stay], self.size[~used], len(self.row))
 
-    def scores_of(self, queries: list[np.ndarray]) -> np.ndarray:
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
         """BM25 of every document against each set of distinct terms, as rows."""
-        asked = np.zeros((len(queries), len(self.matrix)), np.float32)
+        asked = np.zeros((len(queries), self.n_common), np.float32)
         for q, own in enumerate(queries):
             rows = self.row[own]
             asked[q, rows[rows >= 0]] = 1
-        found = asked @ self.matrix
+        found = np.zeros((len(queries), self.n), np.float32)
+        for b, first in enumerate(range(0, self.n, COLUMNS)):
+            last = min(self.n, first + COLUMNS)
+            block = np.zeros((self.n_common, last - first), np.float32)
+            i, j = self.d_start[b], self.d_start[b + 1]
+            block[self.d_row[i:j], self.d_owner[i:j] - first] = self.d_weight[i:j]
+            found[:, first:last] = asked @ block
         for q, own in enumerate(queries):
             first, last = self.starts[own], self.starts[own + 1]
             size = last - first
             at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-            found[q] += np.bincount(self.owner[at], self.weight[at], minlength=self.n)
+            found[q] += np.bincount(self.owner[at], self.rare[at], minlength=self.n)
         return found
 
 
-def pack_documents(docs: list[np.ndarray], index: ShardIndex) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) for each piece."""
-    pieces: list[tuple[int, int, int, int, int]] = []
-    unused = np.ones(len(docs), bool)
-    sequence, offset = 0, 0
+_TIES = (np.tile(np.random.default_rng(5).permutation(1 << 16), 2) / (1 << 16) * STEP).astype(np.float32)
 
-    def place(k: int) -> bool:
-        """Lay the whole document from here on; True if it ends in a later window than it began."""
-        nonlocal sequence, offset
-        unused[k] = False
-        start, total, began = 0, len(docs[k]), sequence
-        while start < total:
-            if offset == SEQUENCE:
-                sequence, offset = sequence + 1, 0
-            length = min(total - start, SEQUENCE - offset)
-            pieces.append((k, start, length, sequence, offset))
-            start, offset = start + length, offset + length
-        return sequence != began
-
-    fresh = 0
-    seed = None
-    while True:
-        if seed is None or offset == SEQUENCE:
-            while fresh < len(docs) and not unused[fresh]:
-                fresh += 1
-            if fresh == len(docs):
-                return pieces
-            seed = fresh
-            place(seed)
-            continue
-        rank = np.nonzero(unused)[0]
-        if not len(rank):
-            return pieces
-        score = index.scores(seed)[rank]
-        for k in rank[np.argsort(-score, kind="stable")].tolist():
-            crossed = place(k)
-            if crossed or offset == SEQUENCE:
-                seed = k
-                break
-
-
-def _pack(kind: np.dtype, idf: np.ndarray, mean_length: float):
-    def run(shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([("doc_id", "ascending"), ("ids", "ascending"), ("place", "ascending")])
-        docs = [np.frombuffer(x.as_py(), kind) for x in shard.column("ids")]
-        pieces = pack_documents(docs, ShardIndex(docs, idf, mean_length))
-        who, start, length, sequence, offset = np.array(pieces, np.int64).T
-        marks = [zlib.crc32(docs[k][s : s + n].astype("<u4").tobytes()) for k, s, n, _, _ in pieces]
-        return pa.table(
-            {
-                "doc_id": shard.column("doc_id").take(pa.array(who)),
-                "start": start,
-                "length": length,
-                "ids_crc32": np.array(marks, np.int64),
-                "doc_tokens": np.array([len(docs[k]) for k in who], np.int64),
-                "sequence_id": sequence,
-                "offset": offset,
-            }
-        )
-
-    return run
 
+def best(score: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Column and value of the ``top`` largest scores of each row; the best runs of columns are searched only."""
+    rows, n = score.shape
+    runs = -(-n // RUN)
+    if runs <= 2 * top:
+        top = min(top, n)
+        at = np.argpartition(-score, top - 1, axis=1)[:, :top]
+        return at, np.take_along_axis(score, at, axis=1)
+    padded = np.full((rows, runs * RUN), -np.inf, np.float32)
+    padded[:, :n] = score
+    padded = padded.reshape(rows, runs, RUN)
+    chosen = np.argpartition(-padded.max(axis=2), top - 1, axis=1)[:, :top]
+    inside = np.take_along_axis(padded, chosen[:, :, None], axis=1).reshape(rows, top * RUN)
+    at = np.argpartition(-inside, top - 1, axis=1)[:, :top]
+    return np.take_along_axis(chosen, at // RUN, axis=1) * RUN + at % RUN, np.take_along_axis(inside, at, axis=1)
 
-_TIES = np.tile(np.random.default_rng(5).permutation(1 << 16) / (1 << 16) * STEP, 2)
-#: monotonically_increasing_id keeps the partition above this bit.
-_PART = 33
-_FOUND = "seed bigint, doc bigint, score double, n bigint"
 
-
-def _best(found: pd.DataFrame, top: int) -> pd.DataFrame:
-    found = found.sort_values(["seed", "score", "doc"], ascending=[True, False, True], ignore_index=True)
-    return found[found.groupby("seed").cumcount() < top]
-
-
-def _asked(
-    index: ShardIndex, docs: np.ndarray, sizes: np.ndarray, seeds: dict[int, np.ndarray], top: int
-) -> pd.DataFrame:
-    """The ``top`` documents of one shard for each seed."""
-    names, ties, step = list(seeds), docs % (1 << 16), max(1, BLOCK_SCORES // len(docs))
-    places, kept = [], []
-    for k in range(0, len(names), step):
-        block = names[k : k + step]
-        for seed, row in zip(block, index.scores_of([seeds[x] for x in block]), strict=True):
-            row = np.round(row.astype(np.float64) / STEP) * STEP + _TIES[ties + seed * 40503 % (1 << 16)]
-            at = np.argpartition(-row, top)[:top] if len(row) > top else np.arange(len(row))
-            places.append(at)
-            kept.append(row[at])
-    at = np.concatenate(places)
-    seed = np.repeat(np.array(names, np.int64), min(top, len(docs)))
-    return pd.DataFrame({"seed": seed, "doc": docs[at], "score": np.concatenate(kept), "n": sizes[at]})
-
-
-def _search(kind: np.dtype, shared, top: int, shard_tokens: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, bits, n_docs, base, idf, mean_length = shared.value
-        used = np.unpackbits(bits, count=n_docs).astype(bool)
-        best, docs, names, size = None, [], [], 0
-
-        def merged() -> pd.DataFrame:
-            index, sizes = ShardIndex(docs, idf, mean_length), np.array([len(x) for x in docs])
-            found = _asked(index, np.array(names, np.int64), sizes, seeds, top)
-            return found if best is None else _best(pd.concat([best, found]), top)
-
-        for batch in batches:
-            number = batch.column("number").to_numpy()
-            places = base[number >> _PART] + (number & ((1 << _PART) - 1))
-            for k in np.flatnonzero(~used[places]).tolist():
-                docs.append(np.frombuffer(batch.column("ids")[k].as_py(), kind))
-                names.append(places[k])
-                size += len(docs[-1])
-                if size >= shard_tokens:
-                    best = merged()
-                    docs, names, size = [], [], 0
-        if docs:
-            best = merged()
-        if best is not None:
-            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
-
-    return run
-
-
-def _merge(top: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in batches:
-            best = _best(batch if best is None else pd.concat([best, batch]), top)
-        if best is not None:
-            yield best
-
-    return run
-
-
-class Corpus:
-    """The coded documents, numbered from 0 without gaps, and the state of their use."""
-
-    def __init__(self, coded: DataFrame, kind: np.dtype, idf: np.ndarray, mean_length: float, shard_tokens: int) -> None:
-        self.coded, self.kind, self.idf, self.mean_length = coded, kind, idf, mean_length
-        self.shard_tokens = shard_tokens
-        part = F.shiftright("number", _PART).alias("part")
-        counts = sorted((r[0], r[1]) for r in coded.groupBy(part).agg(F.count(F.lit(1))).collect())
-        self.parts, sizes = np.array(counts, np.int64).reshape(-1, 2).T
-        self.first = np.cumsum(sizes) - sizes
-        self.base = np.zeros(self.parts.max() + 1, np.int64)
-        self.base[self.parts] = self.first
-        self.used = np.zeros(sizes.sum(), bool)
-
-    def numbers(self, docs: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.first, docs, "right") - 1
-        return (self.parts[at] << _PART) + docs - self.first[at]
-
-    def read(self, docs: list[int]) -> dict[int, np.ndarray]:
-        """The ids of some documents."""
-        if not docs:
-            return {}
-        wanted = pd.DataFrame({"number": self.numbers(np.array(docs, np.int64)), "doc": docs})
-        side = F.broadcast(self.coded.sparkSession.createDataFrame(wanted, "number bigint, doc bigint"))
-        rows = self.coded.select("number", "ids").join(side, "number").select("doc", "ids").collect()
-        return {r["doc"]: np.frombuffer(bytes(r["ids"]), self.kind) for r in rows}
-
-    def neighbours(self, seeds: dict[int, np.ndarray], top: int) -> pd.DataFrame:
-        """(seed, doc, score, n): the ``top`` unused documents of the whole corpus for the terms of each seed."""
-        spark = self.coded.sparkSession
-        shared = spark.sparkContext.broadcast(
-            (seeds, np.packbits(self.used), len(self.used), self.base, self.idf, self.mean_length)
-        )
-        asked = self.coded.select("number", "ids").mapInArrow(_search(self.kind, shared, top, self.shard_tokens), _FOUND)
-        found = asked.repartition("seed").mapInPandas(_merge(top), _FOUND).toPandas()
-        shared.unpersist()
-        return found
-
-
-class Chain:
-    """A run of windows, of which one is open at a time."""
+class _Window:
+    """An open window: its seed, the terms it asks for, how full it is and its pieces."""
 
     def __init__(self) -> None:
-        self.seed, self.terms, self.offset, self.open = None, None, 0, []
+        self.seed, self.terms, self.offset, self.pieces = None, None, 0, []
 
 
-def _rounds(corpus: Corpus, n_tokens: int, write) -> None:
-    """Hand the pieces (document, start, length, sequence, offset) of the corpus to ``write``."""
-    n_docs, left = len(corpus.used), n_tokens
-    chains = [Chain() for _ in range(max(1, min(SEEDS, n_tokens // SEQUENCE // ROUNDS)))]
-    top = int(min(512, max(32, 8 * SEQUENCE * n_docs // n_tokens)))
-    done, full, tried = [], 0, 0
-    stride = next(s for s in range(int(n_docs * 0.618) + 1, 2 * n_docs + 2) if math.gcd(s, n_docs) == 1)
+def pack_documents(lengths: np.ndarray, index: ShardIndex) -> list[tuple[int, int, int, int, int]]:
+    """(document, start, length, sequence, offset) for each piece of the documents of a shard."""
+    n, left = len(lengths), int(lengths.sum())
+    windows = [_Window() for _ in range(max(1, min(OPEN, left // SEQUENCE // ROUNDS)))]
+    top = int(min(256, max(16, 8 * SEQUENCE * n // left)))
+    used, live = np.zeros(n, bool), np.arange(n)
+    done: list[tuple[int, int, int, int, int]] = []
+    full, tried, whole = 0, 0, index
 
-    def place(chain: Chain, doc: int, total: int) -> None:
-        """Lay the whole document; where its window ends, its rest is the next seed."""
+    def place(window: _Window, doc: int) -> bool:
+        """Lay a whole document; where the window ends, the rest is the next seed.  True if it ended."""
         nonlocal full, left
-        corpus.used[doc] = True
+        used[doc] = True
+        start, total, before = 0, int(lengths[doc]), full
         left -= total
-        start = 0
         while start < total:
-            length = min(total - start, SEQUENCE - chain.offset)
-            chain.open.append((doc, start, length, chain.offset))
-            start, chain.offset = start + length, chain.offset + length
-            if chain.offset == SEQUENCE:
-                done.extend((d, s, n, full, o) for d, s, n, o in chain.open)
+            length = min(total - start, SEQUENCE - window.offset)
+            window.pieces.append((doc, start, length, window.offset))
+            start, window.offset = start + length, window.offset + length
+            if window.offset == SEQUENCE:
+                done.extend((d, s, m, full, o) for d, s, m, o in window.pieces)
                 full += 1
-                chain.open, chain.offset = [], 0
-                chain.seed, chain.terms = (doc if start < total else None), None
+                window.pieces, window.offset = [], 0
+                window.seed = doc if start < total else None
+                window.terms = whole.terms(doc)
+        return full != before
 
     while left:
-        wanted = sum(SEQUENCE - c.offset for c in chains if c.seed is not None)
-        opened = []
-        for chain in chains:
-            if chain.seed is None and (wanted + SEQUENCE <= left or not wanted):
-                while tried < n_docs and corpus.used[tried * stride % n_docs]:
+        wanted = sum(SEQUENCE - w.offset for w in windows if w.seed is not None)
+        for window in windows:
+            while window.seed is None and left and (wanted + SEQUENCE <= left or not wanted):
+                while used[tried]:
                     tried += 1
-                if tried < n_docs:
-                    chain.seed, tried, wanted = tried * stride % n_docs, tried + 1, wanted + SEQUENCE
-                    opened.append(chain)
-        ids = corpus.read([c.seed for c in chains if c.seed is not None and c.terms is None])
-        for chain in chains:
-            if chain.seed is not None and chain.terms is None:
-                chain.terms = np.unique(ids[chain.seed][:-1]).astype(np.int64)
-        for chain in opened:
-            seed, terms = chain.seed, chain.terms
-            place(chain, seed, len(ids[seed]))
-            if chain.seed == seed:
-                chain.terms = terms
-        by_seed = {c.seed: c for c in chains if c.seed is not None}
-        if left and by_seed:
-            found = corpus.neighbours({x: c.terms for x, c in by_seed.items()}, top)
-            found = found.sort_values(["score", "seed", "doc"], ascending=[False, True, True])
-            for seed, doc, n in zip(found["seed"].tolist(), found["doc"].tolist(), found["n"].tolist(), strict=True):
-                chain = by_seed.get(seed)
-                if chain is not None and not corpus.used[doc]:
-                    before = full
-                    place(chain, doc, n)
-                    if full != before:
-                        del by_seed[seed]
-        if len(done) >= PIECES:
-            write(done)
-            done.clear()
+                window.seed, window.terms = tried, whole.terms(tried)
+                place(window, tried)
+                if window.seed is not None:
+                    wanted += SEQUENCE - window.offset
+        asking = {w.seed: w for w in windows if w.seed is not None}
+        if not left or not asking:
+            continue
+        if used[live].mean() > 0.3:
+            index, live = index.without(used[live]), live[~used[live]]
+        seeds = list(asking)
+        score = index.scores([asking[s].terms for s in seeds])
+        shift = np.array(seeds) * 40_503 % (1 << 16)
+        score = np.round(score / STEP) * STEP + _TIES[live[None, :] % (1 << 16) + shift[:, None]]
+        score[:, used[live]] = -np.inf
+        at, value = best(score, top)
+        order = np.lexsort((live[at].ravel(), np.repeat(seeds, at.shape[1]), -value.ravel()))
+        order = order[value.ravel()[order] > -np.inf]
+        who, docs = order // at.shape[1], live[at.ravel()[order]]
+        for seed, doc in zip(who.tolist(), docs.tolist(), strict=True):
+            window = asking.get(seeds[seed])
+            if window is not None and not used[doc] and place(window, doc):
+                del asking[seeds[seed]]
+                if not asking:
+                    break
     offset = 0
-    for doc, start, length, _ in (piece for chain in chains for piece in chain.open):
+    for doc, start, length, _ in (piece for window in windows for piece in window.pieces):
         while length:
             if offset == SEQUENCE:
                 full, offset = full + 1, 0
             part = min(length, SEQUENCE - offset)
             done.append((doc, start, part, full, offset))
             start, length, offset = start + part, length - part, offset + part
-    if done:
-        write(done)
+    return done
+
+
+def _pack(weights: Weights):
+    kind = weights.kind
+
+    def run(key: tuple, shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by("number").combine_chunks()
+        lengths = shard.column("n").to_numpy()
+        term, weight, size = weights.of(*(shard.column(c).combine_chunks() for c in ("terms", "counts", "n")))
+        shard = shard.drop_columns(["terms", "counts", "number"])
+        pieces = pack_documents(lengths, ShardIndex(term, weight, size, len(weights.idf)))
+        del term, weight, size
+        pieces = np.array(pieces, np.int64)
+        pieces = pieces[np.lexsort((pieces[:, 4], pieces[:, 3]))]
+        who, start, length, sequence, offset = pieces.T
+        ids = shard.column("ids").combine_chunks()
+        marks = np.empty(len(pieces), np.int64)
+        for k, (doc, first, count) in enumerate(zip(who.tolist(), start.tolist(), length.tolist(), strict=True)):
+            own = np.frombuffer(ids[doc].as_buffer(), kind)
+            marks[k] = zlib.crc32(own[first : first + count].astype("<u4"))
+        return pa.table(
+            {
+                "doc_id": shard.column("doc_id").take(pa.array(who)),
+                "start": start,
+                "length": length,
+                "ids_crc32": marks,
+                "doc_tokens": lengths[who],
+                "shard": np.full(len(who), key[0].as_py()),
+                "sequence": sequence,
+                "offset": offset,
+            }
+        )
+
+    return run
 
 
-def _marks(kind: np.dtype):
+def _sample_vectors(weights: Weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = zip(batch.column("start").to_pylist(), batch.column("length").to_pylist(), strict=True)
-            ids = (np.frombuffer(x.as_py(), kind) for x in batch.column("ids"))
-            marks = [zlib.crc32(x[s : s + n].astype("<u4").tobytes()) for x, (s, n) in zip(ids, cuts, strict=True)]
-            at = batch.schema.get_field_index("ids")
-            yield batch.set_column(at, pa.field("ids_crc32", pa.int64()), pa.array(marks, pa.int64()))
+            x = weights.vectors(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
     return run
 
 
-def _pack_in_rounds(corpus: Corpus, n_tokens: int, schema: str) -> DataFrame:
-    spark = corpus.coded.sparkSession
-    path = scratch_path(spark, "pieces")
-    names = ["number", "start", "length", "sequence_id", "offset"]
+def _leaves(weights: Weights, router: Router):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [router.leaf(weights.vectors(batch.slice(k, 512))) for k in range(0, batch.num_rows, 512)]
+            leaf = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, leaf], [*batch.schema.names, "leaf"])
+
+    return run
+
 
-    def write(pieces: list) -> None:
-        made = pd.DataFrame(np.array(pieces, np.int64), columns=names)
-        made["number"] = corpus.numbers(made["number"].to_numpy())
-        spark.createDataFrame(made).write.mode("append").parquet(path)
+def fit_router(coded: DataFrame, weights: Weights, shards: int) -> Router:
+    """The routing tree, fitted on SAMPLE documents drawn by a hash."""
+    drawn = coded.select("terms", "counts", "n").orderBy(F.xxhash64("ids", "number"), "number").limit(SAMPLE)
+    rows = drawn.mapInArrow(_sample_vectors(weights), "x binary").collect()
+    x = np.array([np.frombuffer(r[0], np.float32) for r in rows]).reshape(-1, DIMS)
+    return Router(x, min(LEAVES, 8 * shards))
 
-    _rounds(corpus, n_tokens, write)
-    pieces = spark.read.schema(", ".join(f"{c} bigint" for c in names)).parquet(path)
-    return pieces.join(corpus.coded, "number").select(
-        "doc_id", "start", "length", "ids", F.col("n").alias("doc_tokens"), "sequence_id", "offset"
-    ).mapInArrow(_marks(corpus.kind), schema)
+
+def with_shards(coded: DataFrame, weights: Weights, n_docs: int, n_tokens: int) -> DataFrame:
+    """``coded`` with the ``shard`` of each row."""
+    shards = max(-(-n_tokens // SHARD_TOKENS), -(-n_docs // SHARD_DOCS))
+    if shards < 2:
+        return coded.withColumn("shard", F.lit(0))
+    router = fit_router(coded, weights, shards)
+    run = _leaves(weights, router)
+    slim = coded.select("terms", "counts", "n").mapInArrow(run, "terms binary, counts binary, n bigint, leaf bigint")
+    found = slim.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).collect()
+    sizes = {r["leaf"]: (r["docs"], r["tokens"]) for r in found}  # LEAVES rows at most
+    dealt = deal(router, [sizes.get(k, (0, 0)) for k in range(router.leaves)])
+    first, parts = (F.array(*[F.lit(x[i]) for x in dealt]) for i in (0, 1))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema)
+
+    def of(values: Column) -> Column:
+        return F.get(values, F.col("leaf").cast("int"))
+
+    shard = (of(first) + F.pmod(F.xxhash64("number"), of(parts))).cast("int")
+    return coded.mapInArrow(run, f"{kinds}, leaf bigint").withColumn("shard", shard).drop("leaf")
 
 
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
-    cut: str = "whole",
+    cut: str | None = None,
     end_id: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -418,22 +456,23 @@ def pack(
     width = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = encoder(tokenizer_path, cut).kind
     coded = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _tokenize(tokenizer_path, cut, end_id), f"doc_id {kind_of_id}, ids binary, n bigint, place bigint"
+        _tokenize(tokenizer_path, cut, end_id), f"doc_id {kind_of_id}, {CODED}"
     )
     coded = materialize(coded.withColumn("number", F.monotonically_increasing_id()), "ids")
-    n_docs, n_tokens = coded.agg(F.count(F.lit(1)), F.sum("n")).first()
-    counted = coded.select("ids").mapInPandas(_document_counts(width, kind), "id bigint, df bigint")
+    n_docs, n_tokens = coded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counted = coded.select("terms").mapInArrow(_document_counts(width, kind), "id bigint, df bigint")
     df = np.zeros(width)
     for row in counted.groupBy("id").agg(F.sum("df").alias("df")).collect():  # as many rows as the vocabulary at most
         df[row["id"]] = row["df"]
-    n_docs, n_tokens = n_docs or 0, n_tokens or 0
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    mean_length = max(1.0, (n_tokens - n_docs) / max(1, n_docs))
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+    weights = Weights(kind, idf, max(1.0, (n_tokens - n_docs) / max(1, n_docs)))
     schema = (
         f"doc_id {kind_of_id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-        "sequence_id bigint, offset bigint"
+        "shard bigint, sequence bigint, offset bigint"
+    )
+    pieces = with_shards(coded, weights, n_docs, n_tokens).groupBy("shard").applyInArrow(_pack(weights), schema)
+    # a shard has fewer than 2^32 windows
+    sequence = F.shiftleft(F.col("shard"), 32) + F.col("sequence")
+    return pieces.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), "offset"
     )
-    if n_tokens > SHARD_TOKENS:
-        return _pack_in_rounds(Corpus(coded, kind, idf, mean_length, SHARD_TOKENS), n_tokens, schema)
-    alone = coded.drop("number").withColumn("shard", F.lit(0))
-    return alone.groupBy("shard").applyInArrow(_pack(kind, idf, mean_length), schema)

@@ -41,7 +41,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cut="free")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), cut="led")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict:

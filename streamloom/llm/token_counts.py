@@ -26,7 +26,7 @@ CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 TOKEN_LIMIT = 1024
 
 
-def _counter(path: str, cut: str):
+def _counter(path: str, cut: str | None):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path, cut)
         for batch in batches:
@@ -38,7 +38,7 @@ def _counter(path: str, cut: str):
 def count_tokens(
     docs: DataFrame,
     tokenizer_path: str,
-    cut: str = "whole",
+    cut: str | None = None,
     cache_path: str | None = None,
     limit: int = TOKEN_LIMIT,
     id_col: str = "doc_id",
