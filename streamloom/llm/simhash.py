@@ -12,9 +12,11 @@ A file yields a spanning forest of its links, never all pairs; components come
 from an iterative join.  Exact copies share one fingerprint and are never paired.
 
 Defined results: a null text has no words and fingerprint zero, which links
-like any other; repeated rows get one row each; a null id is passed over when
-the smallest id of a component is taken; an empty table gives an empty result;
-extra columns are ignored or, in ``drop_near_duplicates``, kept.
+like any other; a very long text is one fingerprint of all its shingles; a bit
+set in exactly half of the shingles is 0; repeated rows get one row each; a null
+id is passed over when the smallest id of a component is taken; an empty table
+gives an empty result; extra columns are ignored or, in
+``drop_near_duplicates``, kept.
 """
 
 from __future__ import annotations
@@ -222,31 +224,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, in the columns of ``docs``: that of the smallest id, nulls last.
+    """Exactly one row of each component, in the columns of ``docs``.
 
-    Rows are told apart by a number of their own, not by their id.  Only where
-    the rows that stay repeat an id, they are one document, of which the row of
-    the least fingerprint stays; rows without id are documents of their own.
+    It is the row of the smallest id, nulls last; of rows that tie, that of the
+    smallest number, which every row gets once.  So rows are told apart by their
+    number and never by their id: unrelated texts under one id, or without id,
+    all stay, and of two copies under one id one stays.
     """
     number, key = fresh(docs, "_number"), fresh(docs, "_row_key")
     rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     own = F.struct(F.isnull(id_col).alias("void"), F.col(id_col).alias("id"), F.col(number).alias("number"))
-    found = materialize(near_duplicates(rows.withColumn(key, own), key, text_col), "components")
+    found = near_duplicates(rows.withColumn(key, own), key, text_col)
     at = F.col("doc_id.number")
-    stays = at == F.col("component_id.number")
-    gone = found.where(~stays).select(at.alias(number))
-    keepers = found.where(stays).select(F.col("doc_id.id").alias("id"), at.alias("at"), "fp")
-    again = materialize(
-        keepers.where(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "at")).alias("first"))
-        .where("n > 1")
-        .select("id", F.col("first.at").alias("first")),
-        "again",
-    )
-    if again.count():
-        joined = salted_left_join(keepers, again, "id", F.col("at"))
-        gone = gone.unionByName(joined.where(F.col("first") != F.col("at")).select(F.col("at").alias(number)))
-    gone = materialize(gone, "gone")
+    gone = materialize(found.where(at != F.col("component_id.number")).select(at.alias(number)), "gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return rows.join(side, number, "left_anti").select(*docs.columns)
+    return rows.join(side, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
