@@ -3,13 +3,20 @@
 Headers (payload digest, page id) are shuffled by digest; the smallest page id
 of a digest is the original.  Records are joined to it and written with fresh
 headers: the original as a response, the others as revisits without payload
-that refer to it.  Archives are written by Spark's own committed writer, one
-record per line with CRLF CRLF as line separator, which is the record separator
-of the format; so they can lie in any store that Spark reaches.
+that refer to it.
 
-Defined results: a null page is an empty payload; payloads shorter than
+Every record is a gzip member of its own, as the format asks; one of MEMBER_BYTES
+or more is cut over several.  Archives are written by Spark's own committed
+writer, so they can lie in any store that Spark reaches: a row of its text format
+holds the members of one file, and its line separator is the zero byte with which
+a member of less than 16 MiB ends.  A file holds ``file_bytes`` and the rest of
+its last record.
+
+Defined results: a null page is an empty payload; a very long page is a record
+like others; payloads shorter than
 ``min_bytes`` are always responses; of rows that repeat the smallest page id of
-a payload every one is a response; a null page id is an original only where no
+a payload every one is a response, and the least of their urls is referred to;
+a null page id is an original only where no
 row of the payload has one, and is read back as null; a null url is empty;
 an empty table gives empty archives; extra columns are ignored.
 """
@@ -23,14 +30,17 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, salted_left_join, scratch_path
 
 CRLF = "\r\n"
-#: Records in one archive file: bounds what a reader holds in memory.
-RECORDS_PER_FILE = 500
+#: Compressed bytes of an archive file: bounds what a writer or reader holds in memory.
+FILE_BYTES = 16_000_000
+#: Bytes of a record in one gzip member at most; below 16 MiB the last byte of a member is zero.
+MEMBER_BYTES = 16_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -48,13 +58,13 @@ def _header_text(value: object) -> str:
     return "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in str(value))
 
 
-def _record(page_id, url, html, digest, original, original_url, date: str) -> str:
-    payload = html.encode()
+def _record(page_id, url, payload: bytes, digest: str, original, original_url, date: str) -> bytes:
     refers = original is not None
-    http = (
+    block = (
         f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {len(payload)}{CRLF}{CRLF}"
-    )
-    block = http if refers else http + html
+    ).encode()
+    if not refers:
+        block += payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers else 'response'}",
@@ -63,7 +73,7 @@ def _record(page_id, url, html, digest, original, original_url, date: str) -> st
         f"WARC-Target-URI: {_header_text(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block.encode())}",
+        f"Content-Length: {len(block)}",
     ]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
@@ -74,19 +84,35 @@ def _record(page_id, url, html, digest, original, original_url, date: str) -> st
             f"WARC-Profile: {PROFILE}",
             f"X-Refers-To-Page-Id: {original}",
         ]
-    return CRLF.join(lines) + CRLF + CRLF + block
+    return (CRLF.join(lines) + CRLF + CRLF).encode() + block + (CRLF + CRLF).encode()
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        batch["digest"] = [base32_sha1(x.encode()) for x in batch["html"]]
-        yield batch
+def _members(record: bytes) -> bytes:
+    out = []
+    for k in range(0, len(record), MEMBER_BYTES):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out += [packer.compress(record[k : k + MEMBER_BYTES]), packer.flush()]
+    return b"".join(out)
+
 
+def _writer(date: str, file_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
 
-def _writer(date: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
-            yield pd.DataFrame({"value": [_record(*row, date) for row in zip(*batch.to_dict("list").values())]})
+            for page_id, url, html, digest, original, original_url in zip(*batch.columns, strict=True):
+                name = base64.b32encode(bytes.fromhex(digest.as_py())).decode()
+                payload = html.as_buffer().to_pybytes()
+                record = _record(page_id.as_py(), url.as_py(), payload, name, original.as_py(), original_url.as_py(), date)
+                held.append(_members(record))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield file()
+                    held, size = [], 0
+        if held:
+            yield file()
 
     return run
 
@@ -99,14 +125,16 @@ def write_archives(
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
+    file_bytes: int = FILE_BYTES,
 ) -> None:
     """Write the deduplicated archives of ``pages`` (gzip) into the folder ``path``."""
-    slim = pages.select(
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    digested = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
-        F.coalesce(F.col(html_col), F.lit("")).alias("html"),
+        html.alias("html"),
+        F.sha1(html.cast("binary")).alias("digest"),
     )
-    digested = slim.mapInPandas(_digests, "page_id bigint, url string, html string, digest string")
     headers = materialize(
         digested.where(F.octet_length("html") >= min_bytes).select("digest", "page_id", "url"), "headers"
     )
@@ -117,18 +145,17 @@ def write_archives(
         .where("n > 1 AND first IS NOT NULL")
         .select("digest", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url"))
     )
-    joined = salted_left_join(digested, materialize(originals, "originals"), "digest", F.col("page_id"), 5_000)
+    salt = F.struct("page_id", "url")
+    joined = salted_left_join(digested, materialize(originals, "originals"), "digest", salt, 5_000)
     long_enough = F.octet_length("html") >= min_bytes
     revisits = long_enough & (F.col("page_id").isNull() | (F.col("original") != F.col("page_id")))
     cast = [F.when(revisits, F.col(c)).alias(c) for c in ("original", "original_url")]
-    ready = joined.select(
-        F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", cast[0].cast("string"), cast[1]
-    )
     (
-        ready.mapInPandas(_writer(date), "value string")
-        .write.option("lineSep", CRLF + CRLF)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
+        joined.select("page_id", "url", "html", "digest", *cast)
+        .mapInArrow(_writer(date, file_bytes), "value binary")
+        .select(F.col("value").cast("string"))  # keeps the bytes as they are
+        .write.option("lineSep", "\0")
+        .option("maxRecordsPerFile", 1)
         .text(path)
     )
 
@@ -150,20 +177,32 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
-def _gunzip(data: bytes) -> bytes:
-    out = []
+def _gunzip(data: bytes) -> Iterator[bytes]:
+    """The content of each gzip member."""
     while data:
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
+        yield member.decompress(data) + member.flush()
+        if not member.eof:
+            raise ValueError("a gzip member is cut off")
         data = member.unused_data
-    return b"".join(out)
+
+
+def _whole_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of one archive; one that is cut over members is put together."""
+    held = b""
+    for content in _gunzip(data):
+        held += content
+        if len(content) < MEMBER_BYTES:
+            yield from parse_records(held)
+            held = b""
+    yield from parse_records(held)
 
 
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for content in batch["content"]:
             rows = []
-            for headers, block in parse_records(_gunzip(content)):
+            for headers, block in _whole_records(content):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 kind = headers["WARC-Type"]
                 stated = dict(line.split(": ", 1) for line in http.decode().split(CRLF)[1:])
@@ -194,7 +233,7 @@ READ_SCHEMA = (
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below ``path``, checked against their headers."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInPandas(_reader, READ_SCHEMA)
 
 
