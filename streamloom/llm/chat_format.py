@@ -7,12 +7,16 @@ blocks of consecutive turns, so a very long conversation is many rows of
 bounded size; the blocks of a conversation in order are its formatted text.
 
 Template, per turn: ``<|turn|>`` role ``<|text|>`` content ``<|end|>``; a
-placeholder is ``<|image|>`` etc.  Inside roles and texts a backslash becomes
-``\\b`` and ``<|`` becomes ``\\l``; so no text can hold a mark, and replacing
-``\\l`` then ``\\b`` gives the text back.
-
-Defined results: a null text is empty; a null role is empty; a null turn comes
-first; turns with equal number are ordered by role, then text; repeated rows
+placeholder is ``<|image|>``, ``<|audio|>``, ``<|document|>`` or, for any other
+type, ``<|part|>``, while the attachment keeps the type as given.  Inside roles
+and texts a backslash becomes ``\\b``, ``<|`` becomes ``\\l`` and a ``<`` at the
+end of a text that another part follows becomes ``\\s``; so no text, role or type
+can make a mark, and replacing ``\\l``, ``\\s``, then ``\\b`` gives the text back.
+
+Defined results: a null text is empty; a null role is empty; a part of null type
+is text; a part of unknown type is an attachment of one token; a null turn comes
+first; turns with equal number are ordered by role, then rendered text, and lie
+in one block, however many they are; a very long text is one turn; repeated rows
 are turns of their own; a null conv_id is a conversation like others; an empty
 table gives an empty result; extra columns are ignored.
 """
@@ -29,6 +33,8 @@ TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>"
 BLOCK_TURNS = 64
 #: Tokens that a part's placeholder stands for where the part names no count.
 PART_TOKENS = {"image": 256, "audio": 150, "document": 1024}
+#: The placeholder of parts of other types, which count as one token.
+OTHER = "part"
 PART_TYPE = "array<struct<type:string,text:string,ref:string,n_tokens:int>>"
 
 
@@ -37,7 +43,8 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\l"), F.lit("<|")), F.lit("\\b"), F.lit("\\"))
+    marks = F.replace(F.replace(text, F.lit("\\l"), F.lit("<|")), F.lit("\\s"), F.lit("<"))
+    return F.replace(marks, F.lit("\\b"), F.lit("\\"))
 
 
 def text_part(text: Column) -> Column:
@@ -57,9 +64,14 @@ def _is_text(part: Column) -> Column:
     return F.coalesce(part["type"], F.lit("text")) == "text"
 
 
-def _visit(part: Column) -> Column:
-    return F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), F.regexp_replace(part["type"], "[^a-z]", ""), F.lit("|>"))
+def _visit(part: Column, last: Column) -> Column:
+    kind = F.when(part["type"].isin(*PART_TOKENS), part["type"]).otherwise(OTHER)
+    text = escape(F.coalesce(part["text"], F.lit("")))
+    # the next text could begin with the rest of a mark
+    open_end = ~last & F.endswith(text, F.lit("<"))
+    closed = F.when(open_end, F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit("\\s"))).otherwise(text)
+    return F.when(_is_text(part), closed).otherwise(
+        F.concat(F.lit("<|"), kind, F.lit("|>"))
     )
 
 
@@ -75,7 +87,7 @@ def render_turns(turns: DataFrame) -> DataFrame:
     role = F.coalesce(F.col("role"), F.lit(""))
     head = F.concat(F.lit(TURN), escape(role), F.lit(BODY))
     parts = F.coalesce(F.col("parts"), F.array().cast(PART_TYPE))
-    body = F.array_join(F.transform(parts, _visit), "")
+    body = F.array_join(F.transform(parts, lambda p, i: _visit(p, i + 1 == F.size(parts))), "")
     attachments = F.transform(
         F.filter(parts, lambda p: ~_is_text(p)),
         lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("n_tokens")),
@@ -127,7 +139,8 @@ def read_back(blocks: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns, loss, formatted_chars), parsed from formatted blocks alone.
 
     ``turns`` is role, newline, text, newline for each turn; ``loss`` is the
-    unescaped text under the mask.  Placeholders stay as they are.
+    unescaped text under the mask.  Placeholders stay as they are;
+    ``read_parts`` tells them from texts.
     """
 
     def one(segment: Column) -> Column:
@@ -159,3 +172,64 @@ def read_back(blocks: DataFrame) -> DataFrame:
         F.array_join(F.transform("bs", lambda b: b["loss"]), "").alias("loss"),
         F.aggregate("bs", F.lit(0).cast("long"), lambda a, b: a + b["chars"]).alias("formatted_chars"),
     )
+
+
+def read_parts(blocks: DataFrame) -> DataFrame:
+    """(conv_id, block, at, role, parts): every turn of the formatted blocks, parsed into its typed parts.
+
+    ``at`` counts the turns of a block from 0.  Texts that met have become one
+    part, and empty ones none; attachments have their type, reference and count.
+    """
+
+    def place(kind: str | Column, text: Column) -> Column:
+        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("mark"), text.alias("text"))
+
+    def one(segment: Column) -> Column:
+        def cut(pair: Column) -> Column:
+            role = unescape(F.substring(F.get(pair, F.lit(0)), len(TURN) + 1, 2_147_483_647))
+            pieces = F.transform(
+                F.split(F.get(pair, F.lit(1)), r"<\|"),  # texts hold none, so each starts a placeholder
+                lambda x, i: F.when(i == 0, F.array(place("text", x))).otherwise(
+                    F.array(
+                        place(F.substring_index(x, "|>", 1), F.lit("")),
+                        place("text", F.substring(x, F.instr(x, "|>") + 2, 2_147_483_647)),
+                    )
+                ),
+            )
+            kept = F.filter(F.flatten(pieces), lambda p: (p["mark"] != "text") | (p["text"] != ""))
+            return F.struct(role.alias("role"), kept.alias("parts"))
+
+        return let(F.split(segment, r"<\|text\|>", 2), cut)
+
+    segments = F.array_remove(F.split("formatted", r"<\|end\|>"), "")
+    turns = blocks.select("conv_id", "block", "attachments", F.transform(segments, one).alias("turns"))
+    # attachments of the turns before, so that each part finds its own
+    held = F.transform("turns", lambda t: F.size(F.filter(t["parts"], lambda p: p["mark"] != "text")))
+    each = turns.select("conv_id", "block", "attachments", held.alias("held"), F.posexplode("turns").alias("at", "t"))
+    before = F.aggregate(F.slice("held", F.lit(1), F.col("at")), F.lit(0), lambda a, b: a + b)
+    parts = F.transform(
+        F.col("t.parts"),
+        lambda p, i: let(
+            F.get(
+                F.col("attachments"),
+                F.col("before") + F.size(F.filter(F.slice(F.col("t.parts"), F.lit(1), i), lambda q: q["mark"] != "text")),
+            ),
+            lambda a: F.when(
+                p["mark"] == "text",
+                F.struct(
+                    F.lit("text").alias("type"),
+                    unescape(p["text"]).alias("text"),
+                    F.lit(None).cast("string").alias("ref"),
+                    F.lit(None).cast("int").alias("n_tokens"),
+                ),
+            ).otherwise(
+                F.struct(
+                    a["type"].alias("type"),
+                    F.lit(None).cast("string").alias("text"),
+                    a["ref"].alias("ref"),
+                    a["n_tokens"].alias("n_tokens"),
+                )
+            ),
+        ),
+    )
+    return each.withColumn("before", before).select("conv_id", "block", "at", "t.role", parts.alias("parts"))
