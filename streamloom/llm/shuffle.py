@@ -6,14 +6,16 @@ whose margins are the bucket counts and the exact shard sizes, which is the law
 of that matrix under a uniform permutation.  Rows are permuted inside their
 bucket and the first runs go to the shards as the matrix says; inside the shard
 they are permuted again, which gives the slot.  Every random choice is a
-function of the seed and the row, so lost tasks repeat the same rows.
+function of the seed, the row and its place in the input; these are written
+before they are used, so lost tasks repeat the same rows.
 
 Slots are ranks within small pieces of a shard plus the sizes of the pieces
 before, so no task holds a shard.
 
 Defined results: shard sizes differ by one at most (law ``rows``); a null text
-has no bytes; rows alike in every used column are dealt like others and are
-interchangeable; an empty table gives an empty result; extra columns are ignored.
+has no bytes; a very long text counts with all its bytes; rows alike in every
+used column, ties included, are dealt like others, each by its place; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LAW = "rows"
-#: Rows that one bucket or piece of a shard holds on average.
+#: Rows that one bucket or piece of a shard holds on average, while there are few enough of these.
 PIECE_ROWS = 20_000
-#: Buckets up to which the matrix is broadcast: a row of it has 17 longs.
-BROADCAST_BUCKETS = 50_000
+#: Buckets and pieces at most: bounds the matrix, which has a row of 16 numbers for each bucket and is drawn on the
+#: driver and broadcast.  Beyond 320 million rows buckets grow, and their sort spills.
+MAX_BUCKETS = 16_384
 
 
 def shard_sizes(n_rows: int, n_shards: int) -> list[int]:
@@ -114,20 +117,18 @@ def shard(
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-            F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"),
+            F.xxhash64(F.lit(seed), F.col(id_col), text, F.monotonically_increasing_id()).alias("h"),
         ),
         "shuffle",
     )
     n_rows = slim.count()
-    n_buckets = max(n_shards, math.ceil(n_rows / PIECE_ROWS))
+    n_buckets = max(n_shards, min(MAX_BUCKETS, math.ceil(n_rows / PIECE_ROWS)))
     dealt = slim.withColumn("bucket", F.pmod("h", F.lit(n_buckets)).cast("int"))
     counts = {r[0]: r[1] for r in dealt.groupBy("bucket").count().collect()}
     buckets = sorted(counts)
     matrix = communication_matrix([counts[b] for b in buckets], shard_sizes(n_rows, n_shards), seed)
-    upto = _matrix_frame(spark, buckets, matrix)
-    if n_buckets <= BROADCAST_BUCKETS:
-        upto = F.broadcast(upto)
-    n_pieces = max(1, math.ceil(n_rows / n_shards / PIECE_ROWS))
+    upto = F.broadcast(_matrix_frame(spark, buckets, matrix))
+    n_pieces = max(1, min(MAX_BUCKETS // n_shards, math.ceil(n_rows / n_shards / PIECE_ROWS)))
     local = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), "h"), "doc_id", "text_crc32")
     sent = (
         dealt.withColumn("rank", F.row_number().over(local))
@@ -145,12 +146,10 @@ def shard(
         .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .drop("n")
     )
-    if n_pieces * n_shards <= BROADCAST_BUCKETS:
-        pieces = F.broadcast(pieces)
     inside = Window.partitionBy("shard", "piece").orderBy("order", "doc_id", "text_crc32")
     return (
         sent.withColumn("rank", F.row_number().over(inside))
-        .join(pieces, ["shard", "piece"])
+        .join(F.broadcast(pieces), ["shard", "piece"])
         .select(
             "doc_id",
             "size",
