@@ -4,14 +4,19 @@ Both sides are cut into words (A-Z lower-cased).  Of the 4-word gram hashes in
 every 8-word window the smallest is a fingerprint, so a document and an item
 that share any 8 consecutive words share a fingerprint.  Fingerprints are
 joined; each candidate is extended to its 8-word windows and kept where the
-64-bit hashes of a whole window agree as well (128 bits in all).  Items of
-fewer than 8 words are one window, looked up at every position.
-
-Defined results: a null text has no words; a null ``item_id`` marks words as
-hit but is no item; repeated rows of a document each get the row's result; an
-item given twice counts once; an empty benchmark hits nothing; an empty table
-gives an empty result; extra columns are ignored or, in ``drop_contaminated``,
-kept.
+hash of a whole window agrees as well.  Both hashes are made from 64-bit hashes
+of the words, so texts are told apart as far as those hashes of their words are.
+Items of fewer than 8 words are one window, looked up at every position.
+
+Items are joined to hit windows, not to fingerprints, so a passage that all items
+share is one row of the index, and its items are listed for documents only.
+
+Defined results: a null text has no words; a very long text is searched whole; of
+equal least gram hashes in a window each is selected in the document and the
+first in the item; a null ``item_id`` marks words as hit but is no item; repeated
+rows of a document each get the row's result; an item given twice counts once;
+an empty benchmark hits nothing; an empty table gives an empty result; extra
+columns are ignored or, in ``drop_contaminated``, kept.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ WINDOW = 8
 GRAM = 4
 SPAN = WINDOW - GRAM + 1
 MIN_ITEMS = 2
-#: Index rows plus item ids up to which the benchmark side is broadcast (about 30 MB); beyond, the join shuffles.
+#: Windows up to which the benchmark side is broadcast (about 20 MB); beyond, the join shuffles.
 BROADCAST_ENTRIES = 400_000
 
 _NO_LONGS = "array<bigint>"
@@ -76,11 +81,12 @@ def _short_entries(h: Column, n: int) -> Column:
     return F.transform(found, lambda x, i: _entry(F.lit(n), x, i, F.array(x)))
 
 
-def _doc_entries(words: Column, short: list[int]) -> Column:
+def _doc_entries(words: Column, short: list[int], own: Column) -> Column:
     """The selected fingerprints of a document, each with the hashes of the windows that can hold it.
 
     ``ws[j]`` is the window that starts ``j`` words before the gram.  The first
-    entry is a mark with position -1, by which every document has a row.
+    entry is a mark with position -1 and length 0, by which every document has a
+    row; it matches nothing, and its key ``own`` deals marks evenly.
     """
 
     def body(h: Column, g: Column, w: Column, m: Column) -> Column:
@@ -94,7 +100,7 @@ def _doc_entries(words: Column, short: list[int]) -> Column:
             F.size(w) > 0, F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda p: F.coalesce(is_least(p), F.lit(False)))
         ).otherwise(F.array().cast("array<int>"))
         entries = [
-            F.array(_entry(F.lit(0), F.lit(0).cast("long"), F.lit(-1), F.array().cast(_NO_LONGS))),
+            F.array(_entry(F.lit(0), own, F.lit(-1), F.array().cast(_NO_LONGS))),
             F.transform(
                 places,
                 lambda p: _entry(F.lit(WINDOW), F.get(g, p), p, F.array(*[F.get(w, p - j) for j in range(SPAN)])),
@@ -132,10 +138,9 @@ def _item_windows(words: Column) -> Column:
 
 
 def index_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The benchmark's windows: (len, fp, j, whash, items), one row per distinct window."""
+    """The benchmark's windows: (item, len, fp, j, whash), one row per window and item."""
     words = items.select(F.col(id_col).alias("item"), _words(F.col(text_col)).alias("w"))
-    windows = words.select("item", F.explode(_item_windows(F.col("w"))).alias("x")).select("item", "x.*")
-    return windows.groupBy("len", "fp", "j", "whash").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return words.select("item", F.explode(_item_windows(F.col("w"))).alias("x")).select("item", "x.*").distinct()
 
 
 def _union_length(spans: Column) -> Column:
@@ -164,54 +169,69 @@ def find_hits(
 
     ``text_hash`` and ``doc_id`` identify a row of ``docs``; rows alike in both share a group.
     """
-    index = materialize(index_items(items, item_id_col, item_text_col), "items")
-    entries = index.agg(F.sum(F.size("items") + 1)).first()[0] or 0
+    owned = materialize(index_items(items, item_id_col, item_text_col), "items")
+    index = materialize(owned.select("len", "fp", "j", "whash").distinct(), "windows")
+    small = index.count() <= BROADCAST_ENTRIES
     short = sorted(r[0] for r in index.where(F.col("len") < WINDOW).select("len").distinct().collect())
-    side = index.select(F.col("len").alias("i_len"), F.col("fp").alias("i_fp"), "j", "whash", "items")
-    if entries <= BROADCAST_ENTRIES:
-        side = F.broadcast(side)
+    side = index.select(F.col("len").alias("i_len"), F.col("fp").alias("i_fp"), "j", "whash")
+    text_hash = F.xxhash64(F.col(text_col))
     words = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.xxhash64(F.col(text_col)).alias("text_hash"),
+        text_hash.alias("text_hash"),
+        F.xxhash64(text_hash, F.col(id_col), F.monotonically_increasing_id()).alias("own"),
         _words(F.col(text_col)).alias("w"),
     )
     marked = words.select(
-        "doc_id", "text_hash", F.size("w").alias("n_words"), F.explode(_doc_entries(F.col("w"), short)).alias("x")
+        "doc_id",
+        "text_hash",
+        F.size("w").alias("n_words"),
+        F.explode(_doc_entries(F.col("w"), short, F.col("own"))).alias("x"),
     ).select("doc_id", "text_hash", "n_words", "x.*")
     joined = marked.join(
-        side,
+        F.broadcast(side) if small else side,
         (F.col("fp") == F.col("i_fp"))
         & (F.col("len") == F.col("i_len"))
         & (F.get(F.col("ws"), F.col("j")) == F.col("whash")),
         "left",
     ).where((F.col("pos") < 0) | F.col("whash").isNotNull())
-    span = F.struct((F.col("pos") - F.col("j")).alias("start"), F.col("len").alias("len"))
     hit = F.col("whash").isNotNull()
-    per_doc = joined.groupBy("doc_id", "text_hash").agg(
-        F.max("n_words").alias("n_words"),
-        F.count(F.when(F.col("pos") < 0, 1)).alias("copies"),
-        F.sort_array(F.collect_set(F.when(hit, span))).alias("spans"),
-        F.collect_set(F.when(hit, F.col("items"))).alias("lists"),
+    span = F.struct((F.col("pos") - F.col("j")).alias("start"), F.col("len").alias("len"))
+    window = F.struct("len", "whash")
+    per_doc = materialize(
+        joined.groupBy("doc_id", "text_hash").agg(
+            F.max("n_words").cast("long").alias("n_words"),
+            F.count(F.when(F.col("pos") < 0, 1)).cast("int").alias("copies"),
+            F.sort_array(F.collect_set(F.when(hit, span))).alias("spans"),
+            F.collect_set(F.when(hit, window)).alias("windows"),
+        ),
+        "hits",
     )
-    found = per_doc.select(
-        "doc_id",
-        "text_hash",
-        F.col("n_words").cast("long").alias("n_words"),
-        _union_length(F.col("spans")).cast("long").alias("n_hit"),
-        F.sort_array(F.array_distinct(F.transform(F.flatten("lists"), lambda x: x.cast("string")))).alias("items"),
-        "spans",
-        "copies",
+    listed = owned.where(F.col("item").isNotNull()).select(
+        F.struct("len", "whash").alias("window"), F.col("item").cast("string").alias("item")
+    ).distinct()
+    keyed = per_doc.where(F.size("windows") > 0).select(
+        F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), F.explode("windows").alias("window")
     )
-    return found.select(
+    found = (
+        keyed.join(F.broadcast(listed) if small and listed.count() <= BROADCAST_ENTRIES else listed, "window")
+        .select("k_id", "k_hash", "item")
+        .distinct()
+        .groupBy("k_id", "k_hash")
+        .agg(F.sort_array(F.collect_list("item")).alias("items"))
+    )
+    items_of = F.coalesce(F.col("items"), F.array().cast("array<string>"))
+    return per_doc.join(
+        found, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left"
+    ).select(
         "doc_id",
         "text_hash",
         "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        (F.size("items") >= MIN_ITEMS).alias("contaminated"),
-        "items",
+        _union_length(F.col("spans")).cast("long").alias("n_hit"),
+        F.size(items_of).cast("long").alias("n_items"),
+        (F.size(items_of) >= MIN_ITEMS).alias("contaminated"),
+        items_of.alias("items"),
         "spans",
-        F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
+        F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")
 
 
