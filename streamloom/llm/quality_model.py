@@ -5,10 +5,12 @@ over the features, each on one feature only, so their sum is a lookup table for
 each feature; then over the pairs with the strongest remaining interaction, each
 a table of two features.  A score is the logistic of the sum of looked-up values.
 
-The tables are fitted on the driver on a bounded sample of labelled rows
-(about ``sample_rows``); only feature vectors are gathered.
+The tables are fitted on the driver on a bounded sample of labelled documents
+(``sample_rows`` at most, drawn by a hash of the id); only feature vectors are
+gathered.
 
-Defined results: a null text is an empty one and is scored; without usable
+Defined results: a null text is an empty one and is scored; a very long text is
+described whole; labels that average to a half count as 1; without usable
 labels the score is 0.5, with one class only its smoothed share; repeated rows
 get one row each; several labels of one id are averaged; a null id counts as
 the empty text when rows are held out and has no label; extra columns are
@@ -234,8 +236,10 @@ def fit(
     n = usable.count()
     if not n:
         return AdditiveModel()
-    share = min(1.0, sample_rows / n)
-    drawn = usable.where(F.pmod(F.xxhash64("name"), F.lit(1 << 20)) < share * (1 << 20))
+    # somewhat more than the bound pass the filter, so that few rows are sorted for it
+    share = min(1.0, 1.1 * sample_rows / n)
+    passed = usable.where(F.pmod(F.xxhash64("name"), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = passed.orderBy(F.xxhash64("name"), "name").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = rows.join(F.broadcast(drawn), F.col("id") == F.col("name")).select("name", "y", "text")
     kind = docs.schema[id_col].dataType.simpleString()
