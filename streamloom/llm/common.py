@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -39,13 +40,16 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Only where it is unset and all of Spark runs in this one process, as in
+    tests, a temporary folder takes its place; a cluster has to name its own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="streamloom-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="streamloom-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
@@ -81,7 +85,8 @@ def salted_left_join(
 
     Keys with more than ``hot_rows`` rows are counted first; there are at most
     ``rows / hot_rows`` of them.  Their left rows are dealt over salts by
-    ``salt_by`` and their right row is repeated for each salt.
+    ``salt_by`` and the partition they lie in, and their right row is repeated
+    for each salt.
     """
     spark = left.sparkSession
     k, n, s = fresh(left, "_sk"), fresh(left, "_sn"), fresh(left, "_ss")
@@ -98,7 +103,7 @@ def salted_left_join(
     small = F.broadcast(hot) if n_hot <= 100_000 else hot
     dealt = (
         left.join(small, left[key] == hot[k], "left")
-        .withColumn(s, F.pmod(F.xxhash64(salt_by), F.coalesce(F.col(n), F.lit(1))).cast("int"))
+        .withColumn(s, F.pmod(F.xxhash64(salt_by, F.spark_partition_id()), F.coalesce(F.col(n), F.lit(1))).cast("int"))
         .drop(k, n)
     )
     copies = (
