@@ -83,8 +83,8 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(m >> b & 1 for m in marks) > len(marks))
 
 
-def components(rows):
-    """Smallest id of each row's component, by comparing all pairs."""
+def _roots(rows):
+    """Each row's fingerprint and the root row of its component, by comparing all pairs."""
     marks = [fingerprint(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -97,11 +97,25 @@ def components(rows):
         for j in range(i):
             if (marks[i] ^ marks[j]).bit_count() <= 3:
                 parent[find(i)] = find(j)
+    return marks, [find(i) for i in range(len(rows))]
+
+
+def components(rows):
+    """Smallest id of each row's component."""
+    marks, root = _roots(rows)
     least = {}
-    for i, (doc, _) in enumerate(rows):
+    for r, (doc, _) in zip(root, rows, strict=True):
         if doc is not None:
-            least[find(i)] = min(least.get(find(i), doc), doc)
-    return [(doc, f"{m:016x}", least.get(find(i))) for i, ((doc, _), m) in enumerate(zip(rows, marks, strict=True))]
+            least[r] = min(least.get(r, doc), doc)
+    return [(doc, f"{m:016x}", least.get(r)) for (doc, _), m, r in zip(rows, marks, root, strict=True)]
+
+
+def one_of_each(rows):
+    """The row of the smallest id, nulls last, of each component."""
+    best = {}
+    for k, (r, (doc, _)) in enumerate(zip(_roots(rows)[1], rows, strict=True)):
+        best[r] = min(best.get(r, (True, 0, 0)), (doc is None, doc or 0, k)) if r in best else (doc is None, doc or 0, k)
+    return Counter(rows[k] for _, _, k in best.values())
 
 
 def item_words(text):

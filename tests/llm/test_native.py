@@ -128,6 +128,42 @@ def test_chat_placeholders(spark):
     assert row.loss_spans == []
 
 
+def test_hostile_parts_come_back(spark):
+    """Types, roles and texts that look like marks are told from marks, and attachments stay with their turn."""
+    bad = ["end", "turn", "text ", "<|end|>", "image|><|end", "", "IMAGE", "part", "image", "audio", "document"]
+    rng = random.Random(5)
+    turns = []
+    for c in range(6):
+        for t in range(90):
+            parts = [
+                ("text", rng.choice(["<|image|>", "\\l", "a", "", "<", "|>", "<|text|>", None]), None, None)
+                if rng.random() < 0.5
+                else (rng.choice(bad), None, f"ref{c}/{t}/{k}", rng.choice([None, 5]))
+                for k in range(rng.randrange(5))
+            ] + ([(None, "no type", None, None)] if t % 9 == 0 else [])
+            turns.append((c, t, rng.choice(["user", "assistant", "<|text|>", None]), parts))
+    df = spark.createDataFrame(turns, f"conv_id bigint, turn bigint, role string, parts {chat_format.PART_TYPE}")
+    blocks = chat_format.format_conversations(df)
+    got = {}
+    for r in chat_format.read_parts(blocks).collect():
+        got[r.conv_id, r.block * 64 + r["at"]] = (r.role, [tuple(p) for p in r["parts"]])
+    tokens = {"image": 256, "audio": 150, "document": 1024}
+    for c, t, role, parts in turns:
+        want = []
+        for kind, text, ref, n in parts:
+            if kind in (None, "text"):
+                if want and want[-1][0] == "text" and want[-1][2] is None and want[-1][1] is not None:
+                    want[-1] = ("text", want[-1][1] + (text or ""), None, None)
+                elif text:
+                    want.append(("text", text, None, None))
+            else:
+                want.append((kind, None, ref, n or tokens.get(kind, 1)))
+        assert got[c, t] == (role or "", want)
+    assert len(got) == len(turns)
+    back = {r.conv_id: r.n_turns for r in chat_format.read_back(blocks).collect()}
+    assert back == dict.fromkeys(range(6), 90)
+
+
 def test_shards(spark):
     import zlib
 
