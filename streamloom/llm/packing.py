@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -70,9 +71,10 @@ def _tokenize(path: str, cut: str | None, end_id: int):
         own = encoder(path, cut)
         end = np.array([end_id], own.kind).tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                ids = list(own.ids(t.as_py() or "" for t in part.column("text")))
+            coded = own.ids(t.as_py() or "" for t in batch.column("text"))
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                ids = list(islice(coded, part.num_rows))
                 found = [np.unique(np.frombuffer(x, own.kind), return_counts=True) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -413,9 +415,12 @@ def _leaves(weights: Weights, router: Router):
     return run
 
 
-def fit_router(coded: DataFrame, weights: Weights, shards: int) -> Router:
-    """The routing tree, fitted on SAMPLE documents drawn by a hash."""
-    drawn = coded.select("terms", "counts", "n").orderBy(F.xxhash64("ids", "number"), "number").limit(SAMPLE)
+def fit_router(coded: DataFrame, weights: Weights, n_docs: int, shards: int) -> Router:
+    """The routing tree, fitted on SAMPLE documents drawn by a hash of their number."""
+    # somewhat more than the bound pass the filter, so that few rows are sorted for it
+    share = min(1.0, 1.25 * SAMPLE / n_docs)
+    passed = coded.where(F.pmod(F.xxhash64("number"), F.lit(1 << 30)) < share * (1 << 30))
+    drawn = passed.select("terms", "counts", "n", "number").orderBy(F.xxhash64("number"), "number").limit(SAMPLE)
     rows = drawn.mapInArrow(_sample_vectors(weights), "x binary").collect()
     x = np.array([np.frombuffer(r[0], np.float32) for r in rows]).reshape(-1, DIMS)
     return Router(x, min(LEAVES, 8 * shards))
@@ -426,7 +431,7 @@ def with_shards(coded: DataFrame, weights: Weights, n_docs: int, n_tokens: int)
     shards = max(-(-n_tokens // SHARD_TOKENS), -(-n_docs // SHARD_DOCS))
     if shards < 2:
         return coded.withColumn("shard", F.lit(0))
-    router = fit_router(coded, weights, shards)
+    router = fit_router(coded, weights, n_docs, shards)
     run = _leaves(weights, router)
     slim = coded.select("terms", "counts", "n").mapInArrow(run, "terms binary, counts binary, n bigint, leaf bigint")
     found = slim.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).collect()

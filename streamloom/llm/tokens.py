@@ -26,7 +26,6 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +33,14 @@ import pyarrow.compute as pc
 import tokenizers
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers (about 60 MB); later ones are encoded again in each block.
+#: Pieces whose count a worker remembers (about 50 MB); later ones are encoded again in each block.
 MEMO_PIECES = 300_000
+#: Pieces whose ids a worker remembers, in two Arrow arrays (about 40 MB).
+MEMO_IDS = 1_000_000
 #: Longer pieces are never remembered.
 MEMO_CHARS = 64
 #: Characters that are cut into pieces at one time.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
 #: New pieces that go to the library as one text.
 JOINED_PIECES = 500
 
@@ -149,7 +150,8 @@ class Encoder:
         ]
         self.mark, self.mark_id = plain[-1] if plain else (None, -1)
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        # remembered pieces and their ids
+        self.known, self.known_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -217,18 +219,27 @@ class Encoder:
         latin = {p: self._merge_latin(p) for p in pieces if len(p) <= MEMO_CHARS and _LATIN.fullmatch(p)}
         return latin | self._pieces([p for p in pieces if p not in latin], "", True)
 
+    def _remember(self, pieces: pa.Array, ids: pa.Array) -> None:
+        short = pc.less_equal(pc.utf8_length(pieces), MEMO_CHARS)
+        room = MEMO_IDS - len(self.known)
+        self.known = pa.concat_arrays([self.known, pieces.filter(short).slice(0, room)])
+        self.known_ids = pa.concat_arrays([self.known_ids, ids.filter(short).slice(0, room)])
+
     def _block_ids(self, texts: list[str]) -> tuple[memoryview, list[int]]:
         """The packed ids of all texts of a block, one after the other, and the bytes before each text's end."""
         cuts = cut_free(pa.array(texts, pa.large_string()))
         coded = cuts.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        values = list(map(self.known.get, pieces))
-        fresh = self._encode_new([p for p, v in zip(pieces, values, strict=True) if v is None])
-        if fresh:
-            values = [fresh[p] if v is None else v for p, v in zip(pieces, values, strict=True)]
-            room = MEMO_PIECES - len(self.known)
-            self.known.update(islice(((p, v) for p, v in fresh.items() if len(p) <= MEMO_CHARS), room))
-        found = pa.array(values, pa.large_binary()).take(coded.indices)
+        slot = pc.index_in(coded.dictionary, value_set=self.known)
+        new = coded.dictionary.filter(pc.is_null(slot))
+        pieces = new.to_pylist()
+        fresh = self._encode_new(pieces)
+        fresh_ids = pa.array([fresh[p] for p in pieces], pa.large_binary())
+        at = slot.to_numpy(zero_copy_only=False)
+        at = np.where(np.isnan(at), -1, at).astype(np.int64) if slot.null_count else at.astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        found = pa.concat_arrays([self.known_ids, fresh_ids]).take(pa.array(at[coded.indices.to_numpy()]))
+        if len(new) and len(self.known) < MEMO_IDS:
+            self._remember(new, fresh_ids)
         place = np.frombuffer(found.buffers()[1], np.int64) if len(found) else np.zeros(1, np.int64)
         data = memoryview(found.buffers()[2]) if len(found) else memoryview(b"")
         return data, place[cuts.offsets.to_numpy()[1:]].tolist()
