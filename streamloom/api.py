@@ -23,8 +23,8 @@ class Session:
         """A session over these records too."""
         return Session(self.source.unionByName(records, allowMissingColumns=True))
 
-    def manager(self, checkpoints: str, watermark: str = "0 seconds", **trigger) -> Manager:
-        return Manager(self.source, checkpoints, watermark, **trigger)
+    def manager(self, checkpoints: str, watermark: str = "0 seconds", strict: bool = False, **trigger) -> Manager:
+        return Manager(self.source, checkpoints, watermark, strict, **trigger)
 
     @staticmethod
     def prepare(spark: SparkSession) -> None:

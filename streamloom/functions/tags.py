@@ -60,5 +60,5 @@ def has_tags(tags: Column, wanted: dict[str, str]) -> Column:
     """A plain conjunction over the map, so it can be pushed to the scan's source columns."""
     found = F.lit(True)
     for k, v in sorted(wanted.items()):
-        found = found & (F.coalesce(tags[k], F.lit("")) == v)
+        found = found & (tags[k] == v if v else F.coalesce(tags[k], F.lit("")) == "")
     return found

@@ -12,6 +12,8 @@ RECORD_SCHEMA = (
     "ts_ns bigint, ts timestamp, lwm_ns bigint, data string, num double"
 )
 RECORD_COLUMNS = ["id", "stream_id", "topic", "tags", "ts_ns", "ts", "lwm_ns", "data", "num"]
+#: The topic of records that only move the watermark on.
+HEARTBEAT = "_heartbeat"
 #: The published form of a record.
 JSON_SCHEMA = "id string, stream_id string, lwm bigint, timestamp bigint, data string"
 

@@ -65,9 +65,21 @@ def _tail(values: Column, n: int) -> Column:
     return F.when(F.size(values) > n, F.slice(values, -n, n)).otherwise(values)
 
 
+def numbers_only(records: DataFrame) -> DataFrame:
+    """The records; one whose payload is no number is an error."""
+    bad = F.raise_error(F.concat(F.lit("alarm input is no number: "), F.col("id"))).cast("double")
+    return records.withColumn("num", F.when(F.col("num").isNull(), bad).otherwise(F.col("num")))
+
+
+def merged(inputs: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """The inputs as one table of (keys, ts_ns, id, num, _stream); streams are numbered in the order of their names."""
+    rows = [inputs[name].select(*keys, "ts_ns", "id", "num").withColumn("_stream", F.lit(k)) for k, name in enumerate(sorted(inputs))]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def fire(
     alarm: Alarm,
-    inputs: dict[str, DataFrame],
+    inputs: dict[str, DataFrame] | DataFrame,
     stream_id: str,
     keys: list[str],
     strict: bool = False,
@@ -75,44 +87,38 @@ def fire(
 ) -> DataFrame:
     """A record for each input record at which the alarm's condition holds.
 
-    Records without a number are left out; ``strict`` makes them an error.
+    ``inputs`` are the records of each stream, or all of them as ``merged`` has
+    them.  Records without a number are left out; ``strict`` makes them an error.
     """
-    names = sorted(inputs)
+    names = sorted({leaf.stream for leaf in alarm.leaves()})
     far = max(1, *(leaf.periods for leaf in alarm.leaves()))
-
-    def arriving(k: int) -> DataFrame:
-        rows = inputs[names[k]].select(*keys, "ts_ns", "id", "num")
-        if strict:
-            bad = F.raise_error(F.concat(F.lit("alarm input is no number: "), F.col("id"))).cast("double")
-            rows = rows.withColumn("num", F.when(F.col("num").isNull(), bad).otherwise(F.col("num")))
-        return rows.where(F.col("num").isNotNull()).withColumn("_stream", F.lit(k))
-
-    union = reduce(DataFrame.unionByName, map(arriving, range(len(names))))
-    rows = with_slices(union, slice_rows)
+    union = inputs if isinstance(inputs, DataFrame) else merged(inputs, keys)
+    union = numbers_only(union) if strict else union
+    rows, n_slices = with_slices(union.where(F.col("num").isNotNull()), slice_rows)
     at = F.struct("ts_ns", "id", "_stream")
     own_window = Window.partitionBy(*keys, SLICE, "_stream").orderBy("ts_ns", "id").rowsBetween(-(far - 1), 0)
     rows = rows.withColumn("_own", F.collect_list("num").over(own_window))
-
-    # the last values of every stream at the end of each slice, then those before each slice
-    ends = rows.groupBy(*keys, SLICE, "_stream").agg(F.max_by("_own", at).alias("_own"))
-    earlier = Window.partitionBy(*keys, "_stream").orderBy(SLICE).rowsBetween(-far, 0)
-    ends = ends.withColumn("_end", _tail(F.flatten(F.collect_list("_own").over(earlier)), far))
-    columns = [F.max(F.when(F.col("_stream") == k, F.col("_end"))).alias(f"_end{k}") for k in range(len(names))]
-    by_slice = ends.groupBy(*keys, SLICE).agg(*columns)
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     none = F.array().cast("array<double>")
-    by_slice = by_slice.select(
-        *keys,
-        SLICE,
-        *[F.coalesce(F.last(f"_end{k}", True).over(before), none).alias(f"_before{k}") for k in range(len(names))],
-    )
-    rows = rows.join(by_slice, [*keys, SLICE])
+    if n_slices == 1:
+        rows = rows.withColumns({f"_before{k}": none for k in range(len(names))})
+    else:
+        # the last values of every stream at the end of each slice, then those before each slice
+        ends = rows.groupBy(*keys, SLICE, "_stream").agg(F.max_by("_own", at).alias("_own"))
+        earlier = Window.partitionBy(*keys, "_stream").orderBy(SLICE).rowsBetween(-far, 0)
+        ends = ends.withColumn("_end", _tail(F.flatten(F.collect_list("_own").over(earlier)), far))
+        columns = [F.max(F.when(F.col("_stream") == k, F.col("_end"))).alias(f"_end{k}") for k in range(len(names))]
+        by_slice = ends.groupBy(*keys, SLICE).agg(*columns)
+        before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        by_slice = by_slice.select(
+            *keys,
+            SLICE,
+            *[F.coalesce(F.last(f"_end{k}", True).over(before), none).alias(f"_before{k}") for k in range(len(names))],
+        )
+        rows = rows.join(by_slice, [*keys, SLICE])
     moment = Window.partitionBy(*keys, SLICE).orderBy("ts_ns", "id", "_stream")
-    last_of = {}
-    for k, name in enumerate(names):
-        now = F.when(F.col("_stream") == k, _tail(F.concat(F.col(f"_before{k}"), F.col("_own")), far))
-        rows = rows.withColumn(f"_last{k}", F.coalesce(F.last(now, True).over(moment), F.col(f"_before{k}")))
-        last_of[name] = F.col(f"_last{k}")
+    now = [F.when(F.col("_stream") == k, _tail(F.concat(F.col(f"_before{k}"), F.col("_own")), far)) for k in range(len(names))]
+    rows = rows.withColumns({f"_last{k}": F.coalesce(F.last(v, True).over(moment), F.col(f"_before{k}")) for k, v in enumerate(now)})
+    last_of = {name: F.col(f"_last{k}") for k, name in enumerate(names)}
     fired = rows.where(condition(alarm.tree, last_of)).withColumn("values", told_values(alarm, last_of))
     return fired.select(
         F.concat_ws("@", F.lit(stream_id), F.col("_stream").cast("string"), "id").alias("id"),

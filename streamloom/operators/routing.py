@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,19 @@ from ..plans.expr import Raw
 
 def select_stream(records: DataFrame, raw: Raw) -> DataFrame:
     """Records of the publishers that a subscriber of ``raw`` hears."""
-    return records.where((F.col("topic") == raw.topic) & has_tags(F.col("tags"), dict(raw.tags)))
+    return records.where(heard_by(raw))
+
+
+def heard_by(raw: Raw) -> Column:
+    return (F.col("topic") == raw.topic) & has_tags(F.col("tags"), dict(raw.tags))
+
+
+def select_streams(records: DataFrame, raws: list[Raw]) -> DataFrame:
+    """The records that any of ``raws`` hears, once for each, with its number as ``_stream``: one pass over the source."""
+    heard = [F.coalesce(heard_by(raw), F.lit(False)) for raw in raws]
+    wanted = reduce(Column.__or__, map(heard_by, raws))
+    numbers = F.array_compact(F.array(*[F.when(h, F.lit(k)) for k, h in enumerate(heard)]))
+    return records.where(wanted).withColumn("_stream", F.explode(numbers))
 
 
 def publishers(records: DataFrame, raw: Raw) -> DataFrame:

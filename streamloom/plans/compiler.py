@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durations import format_duration, parse_duration
+from ..model import HEARTBEAT
 from ..operators import alarm as alarms
 from ..operators import maps, routing
 from ..operators.aggregates import AGGREGATES, aggregate, aggregate_stream
@@ -44,7 +45,7 @@ class Compiler:
     ) -> None:
         self.streaming = source.isStreaming
         self.closed_only, self.strict = closed_only, strict
-        self.source = source.withWatermark("ts", watermark) if self.streaming and watermark else source
+        self.source, self.watermark = source, watermark if self.streaming else None
 
     def compile(self, expression: str | Node) -> DataFrame:
         node = parse(expression) if isinstance(expression, str) else expression
@@ -63,10 +64,14 @@ class Compiler:
         return self._call(node, bound, keys)
 
     def _raw(self, raw: Raw, bound: dict[str, Raw], keys: list[str]) -> _Made:
-        rows = routing.select_stream(self.source, bound.get(raw.topic, raw))
-        for k in keys:
-            rows = rows.withColumn(k, F.coalesce(F.col("tags")[k.removeprefix("by_")], F.lit("")))
-        return _Made(rows, keys)
+        raw = bound.get(raw.topic, raw)
+        if self.watermark:
+            # heartbeats move the watermark on and end here; the test of ts keeps the filter above it
+            rows = self.source.where(routing.heard_by(raw) | (F.col("topic") == HEARTBEAT)).withWatermark("ts", self.watermark)
+            rows = rows.where((F.col("topic") != HEARTBEAT) | F.isnull("ts"))
+        else:
+            rows = routing.select_stream(self.source, raw)
+        return _Made(_with_keys(rows, keys), keys)
 
     def _call(self, call: Call, bound: dict[str, Raw], keys: list[str]) -> _Made:
         made = self._node(call.stream, bound, keys)
@@ -83,22 +88,31 @@ class Compiler:
             return _Made(aggregate(made.records, call.name, period, sid, keys, self.closed_only), keys)
         if call.name == "foo":
             rows = made.records
-            rows = stateful.count_up(rows, sid, keys) if self.streaming else maps.foo(rows, keys)
+            rows = stateful.count_up(rows, keys, made.event_time) if self.streaming else maps.foo(rows, keys)
         elif call.name == "bar":
             rows = maps.bar(made.records)
         elif call.name in COMPUTATIONS:
             rows = COMPUTATIONS[call.name](made.records, call.args, keys)
         else:
             raise ExpressionError(f"unknown computation: {call.name!r}")
-        return _Made(rows.withColumn("stream_id", F.lit(sid)).withColumn("topic", F.lit(sid)), keys)
+        rows = rows.withColumn("stream_id", F.lit(sid)).withColumn("topic", F.lit(sid))
+        return _Made(rows, keys, made.event_time, made.shift_us)
 
     def _alarm(self, node: AlarmCall, bound: dict[str, Raw], keys: list[str]) -> _Made:
         alarm, sid = node.alarm, _text(node, bound)
         if alarm.match_by and not keys:
             keys = [f"by_{t.strip()}" for t in alarm.match_by.split(",")]
-        inputs = {name: self._node(stream, bound, keys).records for name, stream in node.streams.items()}
         if self.streaming:
-            return _Made(stateful.watch(alarm, inputs, sid, keys), keys)
+            made = {name: self._node(stream, bound, keys) for name, stream in node.streams.items()}
+            inputs = {name: m.records for name, m in made.items()}
+            return _Made(stateful.watch(alarm, inputs, sid, keys, self.strict, max(m.shift_us for m in made.values())), keys)
+        names = sorted(node.streams)
+        if all(isinstance(node.streams[n], Raw) for n in names):
+            raws = [bound.get(node.streams[n].topic, node.streams[n]) for n in names]
+            rows = _with_keys(routing.select_streams(self.source, raws), keys)
+            inputs = rows.select(*keys, "ts_ns", "id", "num", "_stream")
+        else:
+            inputs = {name: self._node(stream, bound, keys).records for name, stream in node.streams.items()}
         return _Made(alarms.fire(alarm, inputs, sid, keys, self.strict), keys)
 
     def _match(self, node: Match) -> _Made:
@@ -110,6 +124,10 @@ class Compiler:
         return _Made(rows, made.keys, made.event_time, made.shift_us)
 
 
+def _with_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.withColumns({k: F.coalesce(F.col("tags")[k.removeprefix("by_")], F.lit("")) for k in keys}) if keys else rows
+
+
 def _text(node: Node, bound: dict[str, Raw]) -> str:
     out = str(node)
     for name, raw in bound.items():

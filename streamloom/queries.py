@@ -13,7 +13,7 @@ from .functions.durations import parse_duration
 from .functions.tags import printed, tags_of
 from .model import as_json, records_from_json
 from .operators.late import drop_late
-from .operators.ordered import deduplicate, linearize, numbered
+from .operators.ordered import deduplicate, numbered
 from .operators.routing import combinations, publishers
 from .plans.expr import Raw
 from .sinks import render
@@ -101,7 +101,7 @@ def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _linearize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each record in the time order of its event type."""
     source = _session(spark, sf_dir).source.withColumn("event_type", F.col("tags")["event_type"])
-    return numbered(linearize(source), ["event_type"], "place").select(
+    return numbered(source, ["event_type"], "place").select(
         F.col("id").cast("long").alias("id"), "event_type", F.col("place").cast("long").alias("place")
     )
 

@@ -1,5 +1,7 @@
 """Where records come from."""
 
+from .producer import produced, register_producer
+from .publish import Publisher
 from .readers import (
     events,
     json_lines,
@@ -10,16 +12,21 @@ from .readers import (
     socket_lines,
     text_lines,
     text_line_stream,
+    with_heartbeat,
 )
 
 __all__ = [
+    "Publisher",
     "events",
     "json_line_stream",
     "json_lines",
     "order_prices",
+    "produced",
     "rate",
+    "register_producer",
     "replay_log",
     "socket_lines",
     "text_line_stream",
     "text_lines",
+    "with_heartbeat",
 ]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import RECORD_SCHEMA, create_records, records_from_json, to_records
+from ..model import HEARTBEAT, RECORD_SCHEMA, create_records, records_from_json, to_records
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -77,6 +77,18 @@ def rate(spark: SparkSession, stream_id: str = "test", rows_per_second: int = 1)
     return create_records(rows, stream_id, F.col("value"))
 
 
+def with_heartbeat(records: DataFrame, behind: str = "10 seconds", per_second: int = 1) -> DataFrame:
+    """Live records that move their watermark on when they are silent.
+
+    Heartbeats of a time ``behind`` the clock join them; expressions never see
+    those.  For records that come within ``behind`` of their own time.
+    """
+    beats = records.sparkSession.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    early = F.col("timestamp") - F.expr(f"INTERVAL {behind}")
+    beats = to_records(beats, HEARTBEAT, F.col("value"), early, {}, num=F.lit(0.0))  # filters on numbers let them pass
+    return records.unionByName(beats, allowMissingColumns=True)
+
+
 def replay_log(
     spark: SparkSession,
     path: str,
@@ -98,8 +110,14 @@ def replay_log(
 def in_range(
     records: DataFrame, start_ns: int | None = None, stop_ns: int | None = None, inclusive: bool = False
 ) -> DataFrame:
+    """Records of a range; the same range on ``ts``, a microsecond wider, reaches scans that have only that."""
+
+    def near(ns: int) -> Column:
+        return F.timestamp_micros(F.lit(ns // 1000))
+
     if start_ns is not None:
-        records = records.where(F.col("ts_ns") >= F.lit(start_ns))
+        records = records.where((F.col("ts_ns") >= F.lit(start_ns)) & (F.col("ts") >= near(start_ns)))
     if stop_ns is not None:
-        records = records.where(F.col("ts_ns") <= stop_ns if inclusive else F.col("ts_ns") < stop_ns)
+        below = F.col("ts_ns") <= stop_ns if inclusive else F.col("ts_ns") < stop_ns
+        records = records.where(below & (F.col("ts") <= near(stop_ns)))
     return records

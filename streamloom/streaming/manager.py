@@ -6,13 +6,25 @@ import hashlib
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..plans.compiler import Compiler, canonical
+from ..sinks import render
+from ..sources.readers import in_range
 
 Listener = Callable[[DataFrame, int], None]
+Token = tuple[str, int]
+
+
+class Disconnected(Exception):
+    """Raised by a listener that wants no more batches."""
+
+
+class LateRecord(Exception):
+    """A record came behind the watermark of a strict query."""
 
 
 @dataclass
@@ -22,29 +34,61 @@ class _Running:
 
 
 class Manager:
-    """Runs one query for each canonical expression over a live source."""
+    """Runs one query for each canonical expression and start over a live source.
 
-    def __init__(self, source: DataFrame, checkpoints: str, watermark: str = "0 seconds", **trigger) -> None:
+    With ``strict`` a late record ends its query, and an alarm's input that is no
+    number too; ``failures`` has the errors.  Without it late records are dropped
+    and counted by ``Metrics``.
+    """
+
+    def __init__(
+        self, source: DataFrame, checkpoints: str, watermark: str = "0 seconds", strict: bool = False, **trigger
+    ) -> None:
         self.source, self.checkpoints, self.watermark, self.trigger = source, checkpoints, watermark, trigger
+        self.strict = strict
+        self.failures: dict[str, Exception] = {}
         self._running: dict[str, _Running] = {}
         self._lock = threading.Lock()
         self._next = 0
-
-    def subscribe(self, expression: str, listener: Listener) -> tuple[str, int]:
-        """Hand each batch of the expression's records to ``listener``; returns the token for ``unsubscribe``."""
-        name = canonical(expression)
+        self._guard = _Guard(self) if strict else None
+        if self._guard:
+            source.sparkSession.streams.addListener(self._guard)
+
+    def subscribe(self, expression: str, listener: Listener, start_ns: int | None = None) -> Token:
+        """Hand each batch of the expression's records to ``listener``; returns the token for ``unsubscribe``.
+
+        ``start_ns`` leaves out source records before that time; over a log that
+        is read from its beginning this is a rewind to it.
+        """
+        text = canonical(expression)
+        name = text if start_ns is None else f"{text} from {start_ns}"
         with self._lock:
             self._next += 1
             token = (name, self._next)
             running = self._running.get(name)
             if running is None:
                 listeners = {self._next: listener}
-                self._running[name] = _Running(self._start(name, listeners), listeners)
+                self._running[name] = _Running(self._start(text, name, listeners, start_ns), listeners)
             else:
                 running.listeners[self._next] = listener
             return token
 
-    def unsubscribe(self, token: tuple[str, int]) -> None:
+    def listen(self, expression: str, out: TextIO, data_only: bool = False, start_ns: int | None = None) -> Token:
+        """Write each record as a line to ``out``, flushed after every batch, until ``out`` is closed or broken."""
+        if not expression.strip():
+            raise ValueError("a listener needs a stream id")
+
+        def write(batch: DataFrame, number: int) -> None:
+            try:
+                for row in render(batch, data_only).toLocalIterator():
+                    out.write(f"{row[0]}\n")
+                out.flush()
+            except (OSError, ValueError) as e:  # a pipe that broke, a file that was closed
+                raise Disconnected from e
+
+        return self.subscribe(expression, write, start_ns)
+
+    def unsubscribe(self, token: Token) -> None:
         name, number = token
         with self._lock:
             running = self._running.get(name)
@@ -53,6 +97,15 @@ class Manager:
             del self._running[name]
         running.query.stop()
 
+    def fail(self, query_id: str, error: Exception) -> None:
+        """End the query with this id and note the error."""
+        with self._lock:
+            names = [n for n, r in self._running.items() if str(r.query.id) == query_id]
+            ended = [self._running.pop(n).query for n in names]
+            self.failures.update(dict.fromkeys(names, error))
+        for query in ended:
+            query.stop()
+
     def active(self) -> dict[str, int]:
         """Subscribers of each running expression."""
         with self._lock:
@@ -68,15 +121,23 @@ class Manager:
             queries, self._running = [r.query for r in self._running.values()], {}
         for query in queries:
             query.stop()
+        if self._guard:
+            self.source.sparkSession.streams.removeListener(self._guard)
+            self._guard = None
 
-    def _start(self, name: str, listeners: dict[int, Listener]) -> StreamingQuery:
-        records = Compiler(self.source, watermark=self.watermark).compile(name)
+    def _start(self, text: str, name: str, listeners: dict[int, Listener], start_ns: int | None) -> StreamingQuery:
+        source = in_range(self.source, start_ns)
+        records = Compiler(source, strict=self.strict, watermark=self.watermark).compile(text)
 
         def each(batch: DataFrame, number: int) -> None:
             batch.persist()
             try:
-                for listener in list(listeners.values()):
-                    listener(batch, number)
+                for who, listener in list(listeners.items()):
+                    try:
+                        listener(batch, number)
+                    except Disconnected:
+                        # a query cannot stop itself from inside a batch
+                        threading.Thread(target=self.unsubscribe, args=((name, who),), daemon=True).start()
             finally:
                 batch.unpersist()
 
@@ -86,6 +147,31 @@ class Manager:
         return (writer.trigger(**self.trigger) if self.trigger else writer).start()
 
 
+def _late_rows(event) -> int:
+    return sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+
+class _Guard(StreamingQueryListener):
+    """Ends a strict manager's query that has dropped a late record."""
+
+    def __init__(self, manager: Manager) -> None:
+        self.manager = manager
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        if n := _late_rows(event):
+            error = LateRecord(f"{n} records came behind the watermark")
+            threading.Thread(target=self.manager.fail, args=(str(event.progress.id), error), daemon=True).start()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 class Metrics(StreamingQueryListener):
     """Counts rows and late rows of all queries of a session."""
 
@@ -97,7 +183,7 @@ class Metrics(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         self.processed += event.progress.numInputRows
-        self.late += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+        self.late += _late_rows(event)
 
     def onQueryIdle(self, event) -> None:
         pass

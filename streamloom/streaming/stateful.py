@@ -6,76 +6,181 @@ the records not yet released, or the last values of each stream.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..model import micros
+from ..operators.alarm import numbers_only
 from ..plans.alarm_grammar import Alarm, Both, Leaf
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_RECORD = (
-    "id string, stream_id string, topic string, tags map<string,string>, ts_ns bigint, ts timestamp, "
-    "lwm_ns bigint, data string, num double"
+_RECORD = {
+    "id": "string",
+    "stream_id": "string",
+    "topic": "string",
+    "tags": "map<string,string>",
+    "ts_ns": "bigint",
+    "ts": "timestamp",
+    "lwm_ns": "bigint",
+    "data": "string",
+    "num": "double",
+}
+#: The columns of a waiting record; tags are JSON here and ``ts`` follows from ``ts_ns``.
+_HELD = pa.schema(
+    [
+        *[(c, pa.string()) for c in ("id", "stream_id", "topic", "tags")],
+        *[("ts_ns", pa.int64()), ("lwm_ns", pa.int64()), ("data", pa.string()), ("num", pa.float64()), ("which", pa.int64())],
+    ]
 )
-_NAMES = ["id", "stream_id", "topic", "tags", "ts_ns", "ts", "lwm_ns", "data", "num"]
+#: Waiting records of so many milliseconds are one value of the state.
+BLOCK_MS = 10_000
+
+
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _HELD) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
 
 
 class _Buffered(StatefulProcessor):
     """Holds records back until the watermark has passed their time, then handles them in order.
 
-    A key has one timer, at its earliest waiting record; when it expires all
-    that the watermark has passed is released in one pass.
+    Waiting records lie in blocks of BLOCK_MS, listed in time order with the
+    earliest time in each, so a release reads the blocks it needs and stops.  A
+    key has one timer, at its earliest waiting record.
     """
 
+    def __init__(self, keys: list[str], hold_ms: int = 0) -> None:
+        self.keys, self.hold_ms = keys, hold_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms bigint, ts_ns bigint, id string, k int", _RECORD)
-        self.next = handle.getValueState("next", "ms bigint")
-
-    def _wake(self, ms: int) -> None:
-        self.next.update((ms,))
-        self.handle.registerTimer(ms)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first = None
-        for r in rows:
-            ms = r.ts_ns // 1_000_000 + 1
-            self.waiting.updateValue((ms, r.ts_ns, r.id, r["_k"]), tuple(r[n] for n in _NAMES))
-            first = ms if first is None else min(first, ms)
-        if first is not None:
-            planned = self.next.get()[0] if self.next.exists() else None
-            if planned is None or first < planned:
-                if planned is not None:
-                    self.handle.deleteTimer(planned)
-                self._wake(first)
+        self.blocks = handle.getMapState("blocks", "block bigint", "rows binary")
+        self.plan = handle.getValueState("plan", "plan string")
+
+    def _due(self, rows: pa.Table) -> pa.ChunkedArray:
+        """The watermark in milliseconds at which each row is released."""
+        return pc.add(pc.divide(rows.column("ts_ns"), 1_000_000), 1 + self.hold_ms)
+
+    def _planned(self) -> dict[int, int]:
+        found = json.loads(self.plan.get()[0]) if self.plan.exists() else {}
+        return {int(k): v for k, v in found.items()}
+
+    def _keep_plan(self, plan: dict[int, int], timer: int | None) -> None:
+        """Note the plan, and set the timer anew where its time has changed."""
+        self.plan.update((json.dumps(plan),))
+        first = min(plan.values(), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [pa.Table.from_pandas(x[_HELD.names], _HELD, preserve_index=False) for x in rows]
+        table = pa.concat_tables(parts)
+        plan = self._planned()
+        timer = min(plan.values(), default=None)
+        due = self._due(table)
+        block = pc.divide(due, BLOCK_MS)
+        for b in pc.unique(block).to_pylist():
+            here = pc.equal(block, b)
+            part = table.filter(here)
+            if b in plan:
+                part = pa.concat_tables([pa.ipc.open_stream(self.blocks.getValue((b,))[0]).read_all(), part])
+            self.blocks.updateValue((b,), (_packed(part),))
+            plan[b] = min(plan.get(b, 1 << 62), pc.min(due.filter(here)).as_py())
+        self._keep_plan(plan, timer)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        ready, later = [], None
-        for k, record in self.waiting.iterator():
-            if k[0] <= due:
-                ready.append((tuple(k), record))
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        plan, ready = self._planned(), []
+        for b in sorted(plan):
+            if b * BLOCK_MS > now:
+                break
+            if plan[b] > now:
+                continue
+            rows = pa.ipc.open_stream(self.blocks.getValue((b,))[0]).read_all()
+            due = self._due(rows)
+            passed = pc.less_equal(due, now)
+            ready.append(rows.filter(passed))
+            later = rows.filter(pc.invert(passed))
+            if len(later):
+                self.blocks.updateValue((b,), (_packed(later),))
+                plan[b] = pc.min(due.filter(pc.invert(passed))).as_py()
             else:
-                later = k[0] if later is None else min(later, k[0])
-        self.next.clear()
-        if later is not None:
-            self._wake(later)
-        for k, record in sorted(ready, key=lambda x: x[0][1:]):
-            self.waiting.removeKey(k)
-            yield from self.released(key, k[3], record)
-
-    def released(self, key, k: int, record: Row) -> Iterator[Row]:
-        yield Row(**dict(zip(_NAMES, tuple(record), strict=True)))
+                self.blocks.removeKey((b,))
+                del plan[b]
+        self._keep_plan(plan, None)
+        if ready:
+            rows = pa.concat_tables(ready).sort_by([(c, "ascending") for c in ("ts_ns", "id", "which")])
+            out = self.released(key, rows.to_pandas())
+            if len(out):
+                yield out.assign(**dict(zip(self.keys, key, strict=False)))
+
+    def released(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.drop(columns="which")
 
     def close(self) -> None:
         pass
 
 
+class _Watch(_Buffered):
+    """Judges an alarm at each released record on the last values of every stream."""
+
+    def __init__(self, alarm: Alarm, names: list[str], stream_id: str, keys: list[str], hold_ms: int) -> None:
+        super().__init__(keys, hold_ms)
+        self.alarm, self.names, self.stream_id = alarm, names, stream_id
+        self.far = max(1, *(leaf.periods for leaf in alarm.leaves()))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "v string")
+
+    def released(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        last = json.loads(self.last.get()[0]) if self.last.exists() else {n: [] for n in self.names}
+        fired, told = [], []
+        for place, (k, num) in enumerate(zip(rows["which"].tolist(), rows["num"].tolist(), strict=True)):
+            name = self.names[k]
+            last[name] = [*last[name], num][-self.far :]
+            if holds(self.alarm.tree, last):
+                fired.append(place)
+                told.append(self._message(last))
+        self.last.update((json.dumps(last),))
+        made = rows.iloc[fired]
+        return made.assign(
+            id=[f"{self.stream_id}@{k}@{i}" for k, i in zip(made["which"], made["id"], strict=True)],
+            stream_id=self.stream_id,
+            topic=self.stream_id,
+            tags="{}",
+            lwm_ns=made["ts_ns"],
+            data=told,
+            num=None,
+        ).drop(columns="which")
+
+    def _message(self, last: dict[str, list[float]]) -> str:
+        told = []
+        for stream, leaf in sorted(self.alarm.value_leaves().items()):
+            n = leaf.periods
+            values = last[stream][-n:] if n and len(last[stream]) >= n else [0.0] * n
+            told.append(f"{stream}:[{' '.join(map(str, values))}]")
+        return f"Alarm '{self.alarm.text or self.alarm}' fired with values map[{' '.join(told)}]"
+
+
 class _Counter(StatefulProcessor):
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.n = handle.getValueState("n", "n bigint")
 
@@ -83,7 +188,7 @@ class _Counter(StatefulProcessor):
         n = self.n.get()[0] if self.n.exists() else 0
         for r in sorted(rows, key=lambda r: (r.ts_ns, r.id)):
             n += 1
-            made = {c: r[c] for c in _NAMES} | {
+            made = {c: r[c] for c in self.names} | {
                 "id": f"foo:{r.id}",
                 "data": f"fooized: {r.data}, state: {n}",
                 "num": None,
@@ -95,53 +200,6 @@ class _Counter(StatefulProcessor):
         pass
 
 
-class _Watch(_Buffered):
-    """Judges an alarm at each released record on the last values of every stream."""
-
-    def __init__(self, alarm: Alarm, names: list[str], stream_id: str, n_keys: int) -> None:
-        self.alarm, self.names, self.stream_id, self.n_keys = alarm, names, stream_id, n_keys
-        self.far = max(1, *(leaf.periods for leaf in alarm.leaves()))
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.last = handle.getMapState("last", "k int", "v array<double>")
-
-    def _values(self, k: int) -> list[float]:
-        return list(self.last.getValue((k,))[0]) if self.last.containsKey((k,)) else []
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.now = [self._values(i) for i in range(len(self.names))]
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        for i, values in enumerate(self.now):
-            if values:
-                self.last.updateValue((i,), (values,))
-
-    def released(self, key, k: int, record: Row) -> Iterator[Row]:
-        record = dict(zip(_NAMES, tuple(record), strict=True))
-        if record["num"] is None:
-            return
-        self.now[k] = [*self.now[k], record["num"]][-self.far :]
-        last = dict(zip(self.names, self.now, strict=True))
-        if not holds(self.alarm.tree, last):
-            return
-        told = []
-        for stream, leaf in sorted(self.alarm.value_leaves().items()):
-            n = leaf.periods
-            values = last[stream][-n:] if n and len(last[stream]) >= n else [0.0] * n
-            told.append(f"{stream}:[{' '.join(map(str, values))}]")
-        text = f"Alarm '{self.alarm.text or self.alarm}' fired with values map[{' '.join(told)}]"
-        made = record | {
-            "id": f"{self.stream_id}@{k}@{record['id']}",
-            "stream_id": self.stream_id,
-            "topic": self.stream_id,
-            "tags": {},
-            "lwm_ns": record["ts_ns"],
-            "data": text,
-            "num": None,
-        }
-        yield Row(**made)
-
-
 def holds(node: Leaf | Both, last: dict[str, list[float]]) -> bool:
     """The condition on plain lists of last values."""
     if isinstance(node, Both):
@@ -153,36 +211,73 @@ def holds(node: Leaf | Both, last: dict[str, list[float]]) -> bool:
     return n > 0 and len(recent) == n and all(map(tests[node.op], recent))
 
 
-def _keyed(rows: DataFrame, keys: list[str]):
-    return rows.withColumn("_key", F.concat_ws("\x1f", F.lit(""), *keys)).groupBy("_key")
+def _grouped(rows: DataFrame, keys: list[str]):
+    return rows.groupBy(*keys) if keys else rows.withColumn("_all", F.lit("")).groupBy("_all")
+
+
+def _schema(columns: dict[str, str]) -> str:
+    return ", ".join(f"{c} {kind}" for c, kind in columns.items())
+
+
+def _released(union: DataFrame, processor: _Buffered, keys: list[str]) -> DataFrame:
+    """Run ``processor`` on records whose ``which`` numbers their stream; its records with ``keys``."""
+    seen = [c for c in ("ts", "_event") if c in union.columns]  # they carry the watermark
+    extra = [k for k in keys if k not in _RECORD]
+    rows = union.select(*[F.to_json("tags").alias("tags") if c == "tags" else c for c in _HELD.names], *extra, *seen)
+    own = {c: k for c, k in _RECORD.items() if c not in ("tags", "ts")} | {"tags": "string"}
+    out = _grouped(rows, keys).transformWithStateInPandas(
+        statefulProcessor=processor,
+        outputStructType=_schema(own | dict.fromkeys(extra, "string")),
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+    def column(name: str) -> Column:
+        if name == "tags":
+            return F.from_json("tags", "map<string,string>").alias("tags")
+        return micros(F.col("ts_ns")).alias("ts") if name == "ts" else F.col(name)
+
+    return out.select(*map(column, _RECORD), *extra)
 
 
 def linearize_stream(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Records of each key in event-time order, released when the watermark has passed them."""
-    rows = records.withColumn("_k", F.lit(0))
-    return _keyed(rows, keys or ["stream_id"]).transformWithState(
-        statefulProcessor=_Buffered(), outputStructType=_RECORD, outputMode="Append", timeMode="EventTime"
-    )
+    return _released(records.withColumn("which", F.lit(0).cast("long")), _Buffered(keys or ["stream_id"]), keys or ["stream_id"])
+
 
+def count_up(records: DataFrame, keys: list[str], event_time: str = "ts") -> DataFrame:
+    """The numbered map over a live stream; the counter of each key survives restarts.
 
-def count_up(records: DataFrame, stream_id: str, keys: list[str]) -> DataFrame:
-    """The numbered map over a live stream; the counter of each key survives restarts."""
-    return _keyed(records, keys).transformWithState(
-        statefulProcessor=_Counter(), outputStructType=_RECORD, outputMode="Append", timeMode="None"
+    Where ``event_time`` has a watermark the result keeps it, so that aggregates
+    can be put on top.
+    """
+    columns = _RECORD | {k: "string" for k in keys}
+    columns |= {"_event": "timestamp"} if "_event" in records.columns else {}
+    watermarked = "spark.watermarkDelayMs" in (records.schema[event_time].metadata or {})
+    return _grouped(records, keys).transformWithState(
+        statefulProcessor=_Counter(list(columns)),
+        outputStructType=_schema(columns),
+        outputMode="Append",
+        timeMode="EventTime" if watermarked else "None",
+        **({"eventTimeColumnName": event_time} if watermarked else {}),
     )
 
 
-def watch(alarm: Alarm, inputs: dict[str, DataFrame], stream_id: str, keys: list[str]) -> DataFrame:
-    """The alarm over live streams, judged in event-time order."""
+def watch(
+    alarm: Alarm, inputs: dict[str, DataFrame], stream_id: str, keys: list[str], strict: bool = False, shift_us: int = 0
+) -> DataFrame:
+    """The alarm over live streams, judged in event-time order.
+
+    ``shift_us`` is how far behind the watermark the records of any input can
+    come; those of all inputs are held back so long.  Without keys all records
+    are one state and one task, as each of them may decide.
+    """
     names = sorted(inputs)
+    wanted = [c for c in _RECORD if c != "ts"]
     rows = [
-        inputs[n].select(*_NAMES, *keys, *(["_event"] if "_event" in inputs[n].columns else [])).withColumn("_k", F.lit(i))
+        inputs[n].select(*wanted, *keys, *[c for c in ("ts", "_event") if c in inputs[n].columns]).withColumn("which", F.lit(i).cast("long"))
         for i, n in enumerate(names)
     ]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    return _keyed(union, keys).transformWithState(
-        statefulProcessor=_Watch(alarm, names, stream_id, len(keys)),
-        outputStructType=_RECORD,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    union = numbers_only(union) if strict else union.where(F.col("num").isNotNull())
+    return _released(union, _Watch(alarm, names, stream_id, keys, -(-shift_us // 1000)), keys)

@@ -1,14 +1,31 @@
+import io
 import json
+import os
+import random
+import subprocess
+import sys
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from streamloom import Session
-from streamloom.model import JSON_SCHEMA, RECORD_COLUMNS
-from streamloom.operators.ordered import deduplicate
+from streamloom.model import HEARTBEAT, JSON_SCHEMA, RECORD_COLUMNS
+from streamloom.operators.ordered import deduplicate, deduplicate_stream
 from streamloom.sinks import fan_out, log_stream
-from streamloom.sources import events, json_line_stream, rate, replay_log
-from streamloom.streaming.manager import Manager, Metrics
+from streamloom.sources import (
+    Publisher,
+    events,
+    json_line_stream,
+    json_lines,
+    produced,
+    rate,
+    register_producer,
+    replay_log,
+    with_heartbeat,
+)
+from streamloom.streaming.manager import LateRecord, Manager, Metrics
 from streamloom.streaming.stateful import linearize_stream
 
 from .helpers import NS, START, seconds
@@ -24,7 +41,9 @@ def feed(path, n, rows):
         json.dumps({"id": f"{n}-{i}", "stream_id": s, "timestamp": (START + t) * NS, "lwm": (START + t) * NS, "data": v})
         for i, (s, t, v) in enumerate(rows)
     ]
-    (path / f"{n:03d}.json").write_text("\n".join(lines))
+    file = path / f"{n:03d}.json"
+    file.write_text("\n".join(lines))
+    os.utime(file, (START + n, START + n))  # the file source reads in the order of these times
 
 
 def live(spark, path):
@@ -109,12 +128,210 @@ def test_dedup_live(spark, tmp_path):
     assert deduplicate(spark.read.text(str(tmp_path / "in")).withColumn("id", F.lit(1))).count() == 1
 
 
+def test_dedup_within_the_watermark(spark, tmp_path):
+    rows = [("s", 1, 1), ("s", 2, 1), ("s", 3, 1)]
+    for n in range(3):
+        feed(tmp_path / "in", 0, rows[: n + 1])
+        os.rename(tmp_path / "in" / "000.json", tmp_path / "in" / f"{n}.json")
+    assert json_lines(spark, str(tmp_path / "in"), fresh=False).count() == 6
+    got = drain(deduplicate_stream(live(spark, tmp_path / "in"), "1 minute"), tmp_path, "within")
+    assert sorted(r.id for r in got) == ["0-0", "0-1", "0-2"]
+
+
+def static(spark, path):
+    return json_lines(spark, str(path), fresh=False)
+
+
+@pytest.mark.parametrize(
+    "expression",
+    [
+        "match(value by user_id in alarm(%s > 20 times 2))",
+        "match(value by user_id in max(foo(%s), 1m))",
+        "match(value by user_id in avg(bar(%s), 1m))",
+        "match(value by user_id in foo(avg(%s, 10s)))",
+        "max(foo(avg(value, 10s)), 1m)",
+        "avg(bar(avg(value,10s)),1m)",
+        "avg(bar(value{user_id=1}), 30s)",
+        "alarm(avg(value, 10s) > 15 and value > 25)",
+        "alarm(value{user_id=1} > 20 and value{user_id=2} < 30 times 2)",
+    ],
+)
+def test_live_equals_batch(spark, tmp_path, expression):
+    """Live records, keys and times are those of the batch, as far as the watermark has come."""
+    rng = random.Random(expression)
+    rows = [(f"value{{user_id={rng.randrange(3)}}}", t, float(rng.randrange(40))) for t in range(600)]
+    for n in range(0, 600, 75):
+        feed(tmp_path / "in", n, rows[n : n + 75])
+    keys = ["by_user_id"] if expression.startswith("match") else []
+    records = Session(live(spark, tmp_path / "in")).query(expression, watermark="2 seconds")
+    assert [c for c in records.columns if c not in RECORD_COLUMNS] == keys
+    got = []
+    query = fan_out(records, [lambda b, _: got.extend(b.drop("tags").collect())], str(tmp_path / "cp"), availableNow=True)
+    query.awaitTermination()
+    batch = Session(static(spark, tmp_path / "in")).query(expression).collect()
+
+    def rows_of(found):
+        return Counter((*[r[k] for k in keys], r.ts_ns, r.data, r.num) for r in found)
+
+    seen, want = rows_of(got), rows_of(batch)
+    assert len(seen) > 3 and seen <= want
+    last = min(max(r.ts_ns for r in got if all(r[k] == v for k in keys)) for v in ("0", "1", "2"))
+    assert all(n == seen[x] for x, n in want.items() if x[len(keys)] < last)
+
+
+def test_alarm_goes_on_after_a_restart(spark, tmp_path):
+    text = "alarm(a > 15 times 3 and b < 2)"
+    rows = [("a", 0, 20), ("b", 1, 1), ("a", 2, 20), ("a", 3, 20), ("a", 9, 30), ("a", 10, 1), ("a", 20, 50), ("a", 21, 50)]
+    rows += [("a", 22, 50), ("b", 23, 5), ("b", 24, 0), ("a", 60, 0), ("b", 61, 5), ("a", 62, 0)]
+    got = []
+    for n, r in enumerate(rows):
+        feed(tmp_path / "in", n, [r])
+        if n in (3, 6, 8, 13):  # a new query over the same checkpoint
+            got += drain(Session(live(spark, tmp_path / "in")).query(text, watermark="0 seconds"), tmp_path, "restart")
+    batch = Session(static(spark, tmp_path / "in")).query(text).collect()
+    assert sorted((r.ts_ns, r.data) for r in got) == sorted((r.ts_ns, r.data) for r in batch)
+    assert [seconds(r.ts_ns) for r in sorted(got, key=lambda r: r.ts_ns)] == [3, 9, 22, 24]
+
+
+def test_heartbeats_close_a_silent_stream(spark, tmp_path):
+    feed(tmp_path / "in", 0, [("s", 1, 4), ("s", 2, 6)])
+    quiet = drain(Session(live(spark, tmp_path / "in")).query("avg(s, 10s)", watermark="0 seconds"), tmp_path, "quiet")
+    assert quiet == []
+    feed(tmp_path / "in", 1, [(HEARTBEAT, 60, 0)])
+    for expression in ("avg(s, 10s)", "alarm(s > 5)"):
+        records = Session(live(spark, tmp_path / "in")).query(expression, watermark="0 seconds")
+        got = drain(records, tmp_path, f"beat-{expression[:3]}")
+        assert [(seconds(r.ts_ns), r.num) for r in got] == ([(0, 5.0)] if "avg" in expression else [(2, None)])
+    assert with_heartbeat(live(spark, tmp_path / "in")).isStreaming
+
+
+def test_heartbeats_of_the_clock(spark, tmp_path):
+    now = int(time.time())
+    lines = [json.dumps({"id": str(k), "stream_id": "s", "timestamp": (now - 30 + k) * NS, "data": k}) for k in range(3)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text("\n".join(lines))
+    source = with_heartbeat(live(spark, tmp_path / "in"), behind="1 second")
+    got = []
+    manager = Manager(source, str(tmp_path / "cps"))
+    manager.subscribe("alarm(s >= 0)", lambda b, n: got.extend(b.collect()))
+    stop = time.time() + 60
+    while len(got) < 3 and time.time() < stop:
+        time.sleep(0.5)
+    manager.stop()
+    assert sorted(r.ts_ns // NS - now for r in got) == [-30, -29, -28]
+
+
+def test_strict_queries_fail(spark, tmp_path):
+    feed(tmp_path / "in", 0, [("s", 100, 1)])
+    strict, lax = (Manager(live(spark, tmp_path / "in"), str(tmp_path / f"cps{k}"), strict=k) for k in (True, False))
+    try:
+        for manager in (strict, lax):
+            manager.subscribe("sum(s, 10s)", lambda b, n: b.count())
+            manager.await_batches()
+        for n in (1, 2, 3):
+            feed(tmp_path / "in", n, [("s", 10 - n, 1)])  # behind the watermark
+        lax.await_batches()
+        stop = time.time() + 60
+        while not strict.failures and time.time() < stop:
+            time.sleep(0.2)
+        assert isinstance(strict.failures["sum(s, 10s)"], LateRecord) and strict.active() == {}
+        assert lax.failures == {} and lax.active() == {"sum(s, 10s)": 1}
+    finally:
+        strict.stop()
+        lax.stop()
+    feed(tmp_path / "odd", 0, [("s", 1, "no number")])
+    records = Session(live(spark, tmp_path / "odd")).query("alarm(s > 1)", strict=True, watermark="0 seconds")
+    with pytest.raises(Exception, match="no number"):
+        drain(records, tmp_path, "strict")
+
+
+def test_subscribe_from_a_time(spark, tmp_path):
+    feed(tmp_path / "in", 0, [("s", t, t) for t in range(5)])
+    manager = Manager(live(spark, tmp_path / "in"), str(tmp_path / "cps"))
+    late, whole = [], []
+    try:
+        token = manager.subscribe("bar(s)", lambda b, n: late.extend(b.collect()), start_ns=(START + 3) * NS)
+        manager.subscribe("bar(s)", lambda b, n: whole.extend(b.collect()))
+        assert len(manager.active()) == 2
+        manager.await_batches()
+        manager.unsubscribe(token)
+        assert list(manager.active()) == ["bar(s)"]
+    finally:
+        manager.stop()
+    assert sorted(seconds(r.ts_ns) for r in late) == [3, 4] and len(whole) == 5
+
+
+def test_listener_lines_and_disconnect(spark, tmp_path):
+    feed(tmp_path / "in", 0, [("s", 1, 1), ("s", 2, "two")])
+    manager = Manager(live(spark, tmp_path / "in"), str(tmp_path / "cps"))
+    with pytest.raises(ValueError):
+        manager.listen(" ", io.StringIO())
+    whole, data = io.StringIO(), io.StringIO()
+    try:
+        manager.listen("s", whole)
+        manager.await_batches()
+        manager.listen("s", data, data_only=True)
+        lines = [json.loads(x) for x in whole.getvalue().splitlines()]
+        assert [(x["stream_id"], x["timestamp"], x["data"]) for x in lines] == [("s", (START + 1) * NS, "1"), ("s", (START + 2) * NS, "two")]
+        data.close()
+        feed(tmp_path / "in", 1, [("s", 3, 3)])
+        manager.await_batches()
+        stop = time.time() + 30
+        while manager.active()["s"] > 1 and time.time() < stop:
+            time.sleep(0.1)
+        assert manager.active() == {"s": 1} and len(whole.getvalue().splitlines()) == 3
+        whole.close()
+        feed(tmp_path / "in", 2, [("s", 4, 4)])
+        while manager.active() and time.time() < stop:
+            time.sleep(0.1)
+        assert manager.active() == {}
+    finally:
+        manager.stop()
+
+
+def test_publisher(spark, tmp_path):
+    folder = str(tmp_path / "pub")
+    with Publisher(folder) as out:
+        out.submit({"stream_id": "s{a=b}", "timestamp": 5 * NS, "data": 2.5, "id": "own"})
+        out.submit(json.dumps({"stream_id": "s", "timestamp": 6 * NS, "data": "x"}))
+        for bad in ({"timestamp": 1}, {"stream_id": "", "timestamp": 1}, {"stream_id": "a(b)", "timestamp": 1}, {"stream_id": "s"}, "no json"):
+            with pytest.raises(ValueError):
+                out.submit(bad)
+        with pytest.raises(ValueError):
+            out.submit_raw("", "x")
+        out.submit_raw("raw", "payload")
+    env = os.environ | {"PYTHONPATH": os.getcwd()}
+    command = [sys.executable, "-m", "streamloom.sources.publish", "typed", folder]
+    subprocess.run(command, input="one \n two\n", text=True, check=True, env=env, timeout=120)
+    got = {(r.stream_id, r.data): r for r in drain(json_line_stream(spark, folder, fresh=False), tmp_path, "pub")}
+    assert set(got) == {("s{a=b}", "2.5"), ("s", "x"), ("raw", "payload"), ("typed", "one"), ("typed", "two")}
+    assert got["s{a=b}", "2.5"].num == 2.5 and got["s{a=b}", "2.5"].ts_ns == 5 * NS
+    assert "own" not in {r.id for r in got.values()} and len({r.id for r in got.values()}) == 5
+
+
+def test_registered_producer(spark, tmp_path):
+    def count(n):
+        return [json.dumps({"id": str(k), "stream_id": "test", "timestamp": (START + k) * NS, "data": k}) for k in range(n, min(n + 4, 10))]
+
+    register_producer(spark, "counting", count)
+    got = []
+    manager = Manager(produced(spark, "counting"), str(tmp_path / "cps"))
+    manager.subscribe("test", lambda b, n: got.extend(b.collect()))
+    stop = time.time() + 60
+    while len(got) < 10 and time.time() < stop:
+        time.sleep(0.2)
+    manager.stop()
+    assert [(r.id, r.data) for r in got] == [(str(k), str(k)) for k in range(10)]
+
+
 def test_log_and_replay(spark, tmp_path):
     feed(tmp_path / "in", 0, [("a", 1, 1), ("b", 2, 2), ("a", 3, 3)])
     query = log_stream(live(spark, tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "cp"), availableNow=True)
     query.awaitTermination()
     again = replay_log(spark, str(tmp_path / "log"), start_ns=(START + 2) * NS)
     assert sorted(seconds(r.ts_ns) for r in again.collect()) == [2, 3]
+    moving = replay_log(spark, str(tmp_path / "log"), stop_ns=(START + 2) * NS, inclusive=True, streaming=True)
+    assert sorted(seconds(r.ts_ns) for r in drain(moving, tmp_path, "moving")) == [1, 2]
 
 
 def test_manager_shares_and_stops(spark, tmp_path):
@@ -131,6 +348,10 @@ def test_manager_shares_and_stops(spark, tmp_path):
         feed(tmp_path / "in", 1, [("s", 3, 3)])
         manager.await_batches()
         assert len(one) == 3 and len(two) >= 1
+        stop = time.time() + 30
+        while metrics.processed < 3 and time.time() < stop:
+            time.sleep(0.1)
+        assert (metrics.processed, metrics.late) == (3, 0)
         manager.unsubscribe(first)
         assert manager.active() == {"bar(s)": 1}
         manager.unsubscribe(second)
