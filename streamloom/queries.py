@@ -11,6 +11,7 @@ from .api import Session
 from .functions.buckets import ORIGIN_NS
 from .functions.durations import parse_duration
 from .functions.tags import printed, tags_of
+from .live_queries import catalog
 from .model import as_json, records_from_json
 from .operators.late import drop_late
 from .operators.ordered import deduplicate, numbered
@@ -328,6 +329,7 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
               FROM m WINDOW w AS (PARTITION BY u ORDER BY b, k ROWS UNBOUNDED PRECEDING)
             ) SELECT b * 1000 AS ts_ns, u AS by_user_id FROM s WHERE coalesce(a, false) AND coalesce(c, false)""",
         ),
+        **catalog(_bucket_sql, _agg_sql, START_US),
     }
 
 

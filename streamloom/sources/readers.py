@@ -28,6 +28,8 @@ def events(spark: SparkSession, path: str, streaming: bool = False, files_per_tr
     reader = spark.readStream.schema(EVENT_SCHEMA)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if path.endswith(".parquet"):  # a live source takes a folder or a pattern, which this is for that one name
+        path = f"{path[:-1]}[t]"
     return _as_events(reader.parquet(path))
 
 
