@@ -38,10 +38,11 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release_memory
 from .tokens import encoder, load
 
 SEQUENCE = 4096
@@ -53,6 +54,8 @@ SAMPLE, LEAVES = 4096, 512
 DIMS = 1024
 #: Windows of a shard that are open at a time at most, and rounds that a shard takes at least.
 OPEN, ROUNDS = 192, 12
+#: Seeds whose best documents are found at one time.
+SEEDS = 24
 #: Documents that are held as dense columns at one time.
 COLUMNS = 2048
 #: Neighbouring scores that are compared by their maximum first.
@@ -86,6 +89,7 @@ def _tokenize(path: str, cut: str | None, end_id: int):
                     ],
                     ["doc_id", "ids", "n", "terms", "counts"],
                 )
+        release_memory()
 
     return run
 
@@ -117,14 +121,17 @@ class Weights:
         """(terms, weights) of all rows, one after the other, and the number of terms in each row."""
         term, size = _flat(terms, self.kind)
         tf = _flat(counts, np.dtype("<u2"))[0].astype(np.float32)
-        norm = K1 * (1 - B + B * (np.asarray(n, np.int64) - 1) / self.mean_length)
-        weight = self.idf[term] * tf * (K1 + 1) / (tf + np.repeat(norm, size))
-        return term.astype(np.int64), weight.astype(np.float32), size
+        norm = (K1 * (1 - B + B * (np.asarray(n, np.int64) - 1) / self.mean_length)).astype(np.float32)
+        weight = self.idf[term] * tf
+        tf += np.repeat(norm, size)
+        weight *= np.float32(K1 + 1)
+        weight /= tf
+        return term, weight, size
 
     def vectors(self, batch: pa.RecordBatch) -> np.ndarray:
         """Hashed unit vectors of the rows of a batch."""
         term, weight, size = self.of(batch.column("terms"), batch.column("counts"), batch.column("n"))
-        at = term * 2_654_435_761 % (1 << 32) * DIMS >> 32
+        at = term.astype(np.int64) * 2_654_435_761 % (1 << 32) * DIMS >> 32
         at += np.repeat(np.arange(len(size)) * DIMS, size)
         x = np.bincount(at, weight, len(size) * DIMS).reshape(-1, DIMS).astype(np.float32)
         return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
@@ -219,32 +226,40 @@ class ShardIndex:
     """
 
     def __init__(self, term: np.ndarray, weight: np.ndarray, size: np.ndarray, width: int) -> None:
-        self.n, self.term, self.weight, self.size = len(size), term, weight, size
-        self.start = np.append(0, np.cumsum(size))
-        owner = np.repeat(np.arange(self.n), size)
-        count = np.bincount(term, minlength=width)
+        self.term, self.weight, self.size, self.width = term, weight, size, width
+        self._build()
+
+    def _build(self) -> None:
+        term, self.n = self.term, len(self.size)
+        count = np.bincount(term, minlength=self.width)
         common = np.flatnonzero(count * COMMON >= self.n) if self.n >= COMMON else np.empty(0, np.int64)
-        self.row = np.full(width, -1)
-        self.row[common] = np.arange(len(common))
         self.n_common = len(common)
-        row = self.row[term]
-        dense = row >= 0
-        self.d_row, self.d_owner, self.d_weight = row[dense].astype(np.int32), owner[dense], weight[dense]
-        edges = np.arange(0, self.n + COLUMNS, COLUMNS)
-        self.d_start = np.searchsorted(self.d_owner, edges)
-        term, owner, weight = term[~dense], owner[~dense], weight[~dense]
+        self.row = np.full(self.width, -1, np.int32)
+        self.row[common] = np.arange(self.n_common)
+        start = np.append(0, np.cumsum(self.size))
+        dense = np.zeros(self.width, bool)
+        dense[common] = True
+        dense = dense[term]
+        before = np.append(0, np.cumsum(dense))
+        self.d_start = before[start[np.minimum(np.arange(0, self.n + COLUMNS, COLUMNS), self.n)]]
+        del before
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), self.size)
+        small = np.uint16 if self.n_common <= 1 << 16 else np.int32
+        self.d_row, self.d_weight = self.row.astype(small)[term[dense]], self.weight[dense]
+        self.d_column = (owner[dense] % COLUMNS).astype(np.uint16)
+        np.invert(dense, out=dense)
+        term, owner, weight = term[dense], owner[dense], self.weight[dense]
         order = np.argsort(term, kind="stable")
-        self.owner, self.rare = owner[order].astype(np.int32), weight[order]
-        self.starts = np.searchsorted(term[order], np.arange(width + 1))
-
-    def terms(self, k: int) -> np.ndarray:
-        """The distinct terms of a document."""
-        return self.term[self.start[k] : self.start[k + 1]]
+        self.owner, self.rare = owner[order], weight[order]
+        self.starts = np.searchsorted(term[order], np.arange(self.width + 1))
 
-    def without(self, used: np.ndarray) -> ShardIndex:
-        """The index of the documents that are not used."""
+    def drop(self, used: np.ndarray) -> None:
+        """Leave out the documents that are used."""
+        self.d_row = self.d_column = self.d_weight = self.owner = self.rare = None
         stay = np.repeat(~used, self.size)
-        return ShardIndex(self.term[stay], self.weight[stay], self.size[~used], len(self.row))
+        self.term, self.weight, self.size = self.term[stay], self.weight[stay], self.size[~used]
+        del stay
+        self._build()
 
     def scores(self, queries: list[np.ndarray]) -> np.ndarray:
         """BM25 of every document against each set of distinct terms, as rows."""
@@ -257,9 +272,10 @@ class ShardIndex:
             last = min(self.n, first + COLUMNS)
             block = np.zeros((self.n_common, last - first), np.float32)
             i, j = self.d_start[b], self.d_start[b + 1]
-            block[self.d_row[i:j], self.d_owner[i:j] - first] = self.d_weight[i:j]
+            block[self.d_row[i:j], self.d_column[i:j]] = self.d_weight[i:j]
             found[:, first:last] = asked @ block
         for q, own in enumerate(queries):
+            own = own.astype(np.int64)
             first, last = self.starts[own], self.starts[own + 1]
             size = last - first
             at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
@@ -295,13 +311,17 @@ class _Window:
 
 
 def pack_documents(lengths: np.ndarray, index: ShardIndex) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) for each piece of the documents of a shard."""
+    """(document, start, length, sequence, offset) for each piece of the documents of a shard; uses up its index."""
     n, left = len(lengths), int(lengths.sum())
     windows = [_Window() for _ in range(max(1, min(OPEN, left // SEQUENCE // ROUNDS)))]
     top = int(min(256, max(16, 8 * SEQUENCE * n // left)))
     used, live = np.zeros(n, bool), np.arange(n)
     done: list[tuple[int, int, int, int, int]] = []
-    full, tried, whole = 0, 0, index
+    full, tried = 0, 0
+    term, bounds = index.term, np.append(0, np.cumsum(index.size))
+
+    def terms_of(doc: int) -> np.ndarray:
+        return term[bounds[doc] : bounds[doc + 1]]
 
     def place(window: _Window, doc: int) -> bool:
         """Lay a whole document; where the window ends, the rest is the next seed.  True if it ended."""
@@ -317,8 +337,7 @@ def pack_documents(lengths: np.ndarray, index: ShardIndex) -> list[tuple[int, in
                 done.extend((d, s, m, full, o) for d, s, m, o in window.pieces)
                 full += 1
                 window.pieces, window.offset = [], 0
-                window.seed = doc if start < total else None
-                window.terms = whole.terms(doc)
+                window.seed, window.terms = (doc if start < total else None), terms_of(doc)
         return full != before
 
     while left:
@@ -327,7 +346,7 @@ def pack_documents(lengths: np.ndarray, index: ShardIndex) -> list[tuple[int, in
             while window.seed is None and left and (wanted + SEQUENCE <= left or not wanted):
                 while used[tried]:
                     tried += 1
-                window.seed, window.terms = tried, whole.terms(tried)
+                window.seed, window.terms = tried, terms_of(tried)
                 place(window, tried)
                 if window.seed is not None:
                     wanted += SEQUENCE - window.offset
@@ -335,13 +354,22 @@ def pack_documents(lengths: np.ndarray, index: ShardIndex) -> list[tuple[int, in
         if not left or not asking:
             continue
         if used[live].mean() > 0.3:
-            index, live = index.without(used[live]), live[~used[live]]
+            index.drop(used[live])
+            live = live[~used[live]]
         seeds = list(asking)
         score = index.scores([asking[s].terms for s in seeds])
-        shift = np.array(seeds) * 40_503 % (1 << 16)
-        score = np.round(score / STEP) * STEP + _TIES[live[None, :] % (1 << 16) + shift[:, None]]
-        score[:, used[live]] = -np.inf
-        at, value = best(score, top)
+        gone, found = used[live], []
+        for k in range(0, len(seeds), SEEDS):
+            part = score[k : k + SEEDS]
+            np.divide(part, np.float32(STEP), out=part)
+            np.round(part, out=part)
+            part *= np.float32(STEP)
+            for row, seed in zip(part, seeds[k : k + SEEDS], strict=True):
+                row += _TIES[live % (1 << 16) + seed * 40_503 % (1 << 16)]
+            part[:, gone] = -np.inf
+            found.append(best(part, top))
+        at, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        del score, part
         order = np.lexsort((live[at].ravel(), np.repeat(seeds, at.shape[1]), -value.ravel()))
         order = order[value.ravel()[order] > -np.inf]
         who, docs = order // at.shape[1], live[at.ravel()[order]]
@@ -366,23 +394,28 @@ def _pack(weights: Weights):
     kind = weights.kind
 
     def run(key: tuple, shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by("number").combine_chunks()
-        lengths = shard.column("n").to_numpy()
-        term, weight, size = weights.of(*(shard.column(c).combine_chunks() for c in ("terms", "counts", "n")))
-        shard = shard.drop_columns(["terms", "counts", "number"])
+        order = pc.sort_indices(shard, [("number", "ascending")])
+        ids, names = shard.column("ids"), shard.column("doc_id")
+        lengths = shard.column("n").take(order).to_numpy()
+        terms, counts = (shard.column(c).take(order) for c in ("terms", "counts"))
+        del shard
+        term, weight, size = weights.of(terms, counts, lengths)
+        del terms, counts
         pieces = pack_documents(lengths, ShardIndex(term, weight, size, len(weights.idf)))
         del term, weight, size
         pieces = np.array(pieces, np.int64)
         pieces = pieces[np.lexsort((pieces[:, 4], pieces[:, 3]))]
         who, start, length, sequence, offset = pieces.T
-        ids = shard.column("ids").combine_chunks()
+        at = order.to_numpy()[who]
         marks = np.empty(len(pieces), np.int64)
-        for k, (doc, first, count) in enumerate(zip(who.tolist(), start.tolist(), length.tolist(), strict=True)):
+        for k, (doc, first, count) in enumerate(zip(at.tolist(), start.tolist(), length.tolist(), strict=True)):
             own = np.frombuffer(ids[doc].as_buffer(), kind)
             marks[k] = zlib.crc32(own[first : first + count].astype("<u4"))
+        del ids
+        release_memory()
         return pa.table(
             {
-                "doc_id": shard.column("doc_id").take(pa.array(who)),
+                "doc_id": names.take(pa.array(at)),
                 "start": start,
                 "length": length,
                 "ids_crc32": marks,
