@@ -4,8 +4,10 @@ Every line is judged by itself: navigation bars, boilerplate, symbol noise and
 short unpunctuated fragments fail and are removed.  A document is then rejected
 when a base rule fails or when the removed lines held too much of its text.
 
-Defined results: a null text is an empty one (no words, rejected); repeated
-rows are judged alike, one result row each; a null id stays null; an empty
+Windows of three words are told apart by 64-bit hashes, inside one text only.
+
+Defined results: a null text is an empty one (no words, rejected); a very long
+text is measured whole; repeated rows are judged alike, one result row each; a null id stays null; an empty
 table gives an empty result; extra columns are ignored by ``assess`` and kept
 untouched by ``filter_documents``.
 """
@@ -45,19 +47,19 @@ REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 40
 
 
-def has_phrase(text: Column) -> Column:
-    """True if the lower-cased text holds a boilerplate phrase."""
-    found = F.contains(text, F.lit(BOILERPLATE[0]))
-    for p in BOILERPLATE[1:]:
+def has_phrase(text: Column, phrases: tuple[str, ...]) -> Column:
+    """True if the lower-cased text holds one of ``phrases``."""
+    found = F.lit(False)
+    for p in phrases:
         found = found | F.contains(text, F.lit(p))
     return found
 
 
-def line_fails(line: Column, suspect: Column, phrases: Column) -> Column:
+def line_fails(line: Column, suspect: Column, told: Column, phrases: tuple[str, ...] = BOILERPLATE) -> Column:
     """True for a line with a word that any line rule removes.
 
-    ``suspect`` and ``phrases`` say whether the whole text has a separator or
-    symbol, or a boilerplate phrase; most texts have none, and skip those rules.
+    ``suspect`` and ``told`` say whether the whole text has a separator or
+    symbol, or one of ``phrases``; most texts have none, and skip those rules.
     """
 
     def n_words() -> Column:
@@ -69,9 +71,9 @@ def line_fails(line: Column, suspect: Column, phrases: Column) -> Column:
         ((separators >= NAVIGATION_SEPARATORS) & (separators * 4 >= n_words()))
         | ((symbols >= 4) & ((symbols * 5 >= F.length(line)) | (symbols * 2 >= n_words() * 3)))
     )
-    boilerplate = let(F.lower(line), has_phrase) & (n_words() <= BOILERPLATE_WORDS)
+    boilerplate = let(F.lower(line), lambda x: has_phrase(x, phrases)) & (n_words() <= BOILERPLATE_WORDS)
     fragment = ~F.rlike(line, F.lit(FOUR_WORDS)) & ~F.rlike(line, F.lit(TERMINAL))
-    return (suspect & noise) | (phrases & boilerplate) | fragment
+    return (suspect & noise) | (told & boilerplate) | fragment
 
 
 def _covered(places: Column) -> Column:
@@ -109,7 +111,7 @@ def _repeat_words(hashes: Column, twice: Column) -> Column:
     )
 
 
-def _measure(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, Column]]:
+def _measure(docs: DataFrame, text_col: str, phrases: tuple[str, ...]) -> tuple[DataFrame, dict[str, Column]]:
     """``docs`` with helper columns, and the measures as expressions over them.
 
     The steps stay separate projections, as each is used more than once; so the
@@ -122,7 +124,8 @@ def _measure(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, Colum
     n = F.size(w)
     # bound by let: a plain column used once would be computed again for each line
     of_text = F.struct(
-        F.rlike(F.col(text), F.lit(SUSPECT)).alias("suspect"), let(F.lower(F.col(text)), has_phrase).alias("phrases")
+        F.rlike(F.col(text), F.lit(SUSPECT)).alias("suspect"),
+        let(F.lower(F.col(text)), lambda x: has_phrase(x, phrases)).alias("told"),
     )
 
     def judged(t: Column) -> Column:
@@ -131,7 +134,7 @@ def _measure(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, Colum
             lambda x: let(
                 F.rlike(x, F.lit(HAS_WORD)),
                 lambda has: F.struct(
-                    x.alias("line"), has.alias("has"), (has & line_fails(x, t["suspect"], t["phrases"])).alias("fails")
+                    x.alias("line"), has.alias("has"), (has & line_fails(x, t["suspect"], t["told"], phrases)).alias("fails")
                 ),
             ),
         )
@@ -180,9 +183,15 @@ def _lost(m: dict[str, Column]) -> Column:
     return m["lost_chars"] * 100 > m["word_chars"] * MAX_LOST_PERCENT
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the base measures, the cleaned text and the verdict."""
-    measured, m = _measure(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
+def assess(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: tuple[str, ...] = BOILERPLATE
+) -> DataFrame:
+    """One row per document: the base measures, the cleaned text and the verdict.
+
+    ``phrases`` are the boilerplate phrases in lower case, in whatever languages the corpus has.
+    """
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    measured, m = _measure(slim, "text", phrases)
     base_failed = _base_failed(m)
     return measured.select(
         "doc_id",
@@ -193,12 +202,17 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def filter_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def filter_documents(
+    docs: DataFrame,
+    text_col: str = "text",
+    chars_col: str | None = "n_chars",
+    phrases: tuple[str, ...] = BOILERPLATE,
+) -> DataFrame:
     """The kept documents with their cleaned text, in the columns of ``docs``.
 
     ``chars_col``, where ``docs`` has it, is set to the length of the cleaned text.
     """
-    measured, m = _measure(docs, text_col)
+    measured, m = _measure(docs, text_col, phrases)
     # a filter would be pushed below and compute every measure again; a generator is not
     name, verdict = fresh(measured, "_qr_kept"), measured.columns[-1]
     kept = measured.withColumn(

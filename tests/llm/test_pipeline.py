@@ -62,6 +62,21 @@ def test_stages_follow_each_other(spark, corpus):
     assert {r.doc_id for r in whole} == {r.doc_id for r in pieces}
 
 
+def test_stages_keep_columns_and_bear_empty_tables(spark, corpus):
+    folder, _ = corpus
+    clashing = documents(spark, nasty(4) + [(k, prose(random.Random(k), 90)) for k in range(900, 912)])
+    for docs in (clashing, clashing.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, folder)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            rows = out.collect()
+            assert all(r["fp"] == "x" and r["_bad_id"] == "x" for r in rows)
+            docs = spark.createDataFrame(rows, out.schema)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
+        assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
+    assert pieces == []
+
+
 def test_registered(spark):
     names = __spark_entry__.queries()
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
