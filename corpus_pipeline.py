@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``.
+
+Defined results: a document of null or empty text has no words and goes in the
+first stage; repeated rows are judged alike there, and near-dedup keeps one of
+them; rows without id go through like others; an empty table gives an empty
+result; extra columns, whatever their names, are kept by all stages but the last.
 """
 
 from __future__ import annotations
