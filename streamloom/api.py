@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans.compiler import Compiler, canonical
+from .sources.readers import in_range
 from .streaming.manager import Manager
 from .streaming.stateful import ROCKSDB
 
@@ -15,9 +16,19 @@ class Session:
     def __init__(self, source: DataFrame) -> None:
         self.source = source
 
-    def query(self, expression: str, closed_only: bool = False, strict: bool = False, watermark: str | None = None) -> DataFrame:
-        """The records of ``expression``: a batch over a batch source, a stream over a live one."""
-        return Compiler(self.source, closed_only, strict, watermark).compile(expression)
+    def query(
+        self,
+        expression: str,
+        closed_only: bool = False,
+        strict: bool = False,
+        watermark: str | None = None,
+        start_ns: int | None = None,
+    ) -> DataFrame:
+        """The records of ``expression``: a batch over a batch source, a stream over a live one.
+
+        ``start_ns`` leaves out source records before that time.
+        """
+        return Compiler(in_range(self.source, start_ns), closed_only, strict, watermark).compile(expression)
 
     def publish(self, records: DataFrame) -> Session:
         """A session over these records too."""

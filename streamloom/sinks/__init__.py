@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import RECORD_COLUMNS, as_json
+from ..streaming.stateful import linearize_stream
 
 
 def render(records: DataFrame, data_only: bool = False) -> DataFrame:
@@ -48,6 +49,10 @@ def fan_out(
     return records.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def print_stream(records: DataFrame, checkpoint: str, data_only: bool = False, **trigger) -> StreamingQuery:
-    writer = render(records, data_only).writeStream.format("console").option("truncate", False)
+def print_stream(
+    records: DataFrame, checkpoint: str, data_only: bool = False, ordered: bool = False, **trigger
+) -> StreamingQuery:
+    """Print live records; ``ordered`` holds each stream's back to the watermark and prints them in time order."""
+    rows = linearize_stream(records) if ordered else records
+    writer = render(rows, data_only).writeStream.format("console").option("truncate", False)
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from streamloom.model import as_json, create_record, records_from_json
 from streamloom.operators import alarm as alarms
 from streamloom.operators.aggregates import AGGREGATES, register_aggregate
 from streamloom.operators.late import drop_late
-from streamloom.operators.ordered import deduplicate, numbered
+from streamloom.operators.ordered import SLICE, deduplicate, linearize, numbered, with_slices
 from streamloom.operators.routing import combinations, publishers, subscribers_of
 from streamloom.plans.alarm_grammar import parse_alarm
 from streamloom.plans.compiler import COMPUTATIONS, register_computation
@@ -225,3 +226,41 @@ def test_registry(spark):
 def test_json_of_records(spark):
     got = stream(spark, [("a", 0, "x")]).select(as_json(stream(spark, [("a", 0, "x")])).alias("j")).first().j
     assert '"stream_id":"a"' in got and '"data":"x"' in got
+
+
+def test_linearize_orders_and_slices_follow_bursts(spark):
+    rng = random.Random(3)
+    # most records fall into one second of a day, as a burst does
+    times = [rng.randrange(10**6) for _ in range(4000)] + [rng.randrange(86_400 * 10**6) for _ in range(400)]
+    rows = spark.createDataFrame([(f"{k:05d}", t) for k, t in enumerate(times)], "id string, ts_ns bigint")
+    got = [(r.ts_ns, r.id) for r in linearize(rows.repartition(4)).collect()]
+    assert got == sorted((t, f"{k:05d}") for k, t in enumerate(times))
+    sliced, n = with_slices(rows, 200)
+    sizes = {r[SLICE]: (r["n"], r["a"], r["b"]) for r in sliced.groupBy(SLICE).agg(F.count("*").alias("n"), F.min("ts_ns").alias("a"), F.max("ts_ns").alias("b")).collect()}
+    assert n == len(sizes) == 22 and max(x[0] for x in sizes.values()) <= 400
+    ends = [sizes[k][1:] for k in sorted(sizes)]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False))
+    numbers = {r.id: r.n for r in numbered(rows, [], rows=200).collect()}
+    assert numbers == {i: k for k, (_, i) in enumerate(got, 1)}
+
+
+def test_aggregate_of_a_pandas_function(spark):
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def median(v: pd.Series) -> float:
+        return float(v.median())
+
+    register_aggregate("median", median)
+    try:
+        rows = [("s", t, float(v)) for t, v in ((0, 1), (1, 9), (2, 5), (11, 7))]
+        got = {seconds(r.ts_ns): r.num for r in Session(stream(spark, rows)).query("median(s, 10s)").collect()}
+        assert got == {0: 5.0, 10: 7.0}
+    finally:
+        del AGGREGATES["median"]
+
+
+def test_query_from_a_time(spark):
+    rows = [("s", t, float(t)) for t in range(5)]
+    got = Session(stream(spark, rows)).query("s", start_ns=(START + 3) * NS).collect()
+    assert sorted(r.num for r in got) == [3.0, 4.0]
