@@ -209,27 +209,27 @@ def find_hits(
     listed = owned.where(F.col("item").isNotNull()).select(
         F.struct("len", "whash").alias("window"), F.col("item").cast("string").alias("item")
     ).distinct()
-    keyed = per_doc.where(F.size("windows") > 0).select(
-        F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), F.explode("windows").alias("window")
-    )
+    few = small and listed.count() <= BROADCAST_ENTRIES
     found = (
-        keyed.join(F.broadcast(listed) if small and listed.count() <= BROADCAST_ENTRIES else listed, "window")
-        .select("k_id", "k_hash", "item")
-        .distinct()
-        .groupBy("k_id", "k_hash")
-        .agg(F.sort_array(F.collect_list("item")).alias("items"))
+        per_doc.where(F.size("windows") > 0)
+        .withColumn("window", F.explode("windows"))
+        .drop("windows")
+        .join(F.broadcast(listed) if few else listed, "window", "left")
+        .groupBy("doc_id", "text_hash")
+        .agg(
+            *[F.first(c).alias(c) for c in ("n_words", "copies", "spans")],  # alike in all rows of a document
+            F.sort_array(F.collect_set("item")).alias("items"),
+        )
     )
-    items_of = F.coalesce(F.col("items"), F.array().cast("array<string>"))
-    return per_doc.join(
-        found, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash")), "left"
-    ).select(
+    none = per_doc.where(F.size("windows") == 0).drop("windows").withColumn("items", F.array().cast("array<string>"))
+    return found.unionByName(none).select(
         "doc_id",
         "text_hash",
         "n_words",
         _union_length(F.col("spans")).cast("long").alias("n_hit"),
-        F.size(items_of).cast("long").alias("n_items"),
-        (F.size(items_of) >= MIN_ITEMS).alias("contaminated"),
-        items_of.alias("items"),
+        F.size("items").cast("long").alias("n_items"),
+        (F.size("items") >= MIN_ITEMS).alias("contaminated"),
+        "items",
         "spans",
         F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")
