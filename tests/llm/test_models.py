@@ -95,7 +95,8 @@ def test_near_duplicates_are_dropped_by_row(spark):
     assert got == Counter(want) == one_of_each(rows)
 
 
-def test_unrelated_texts_under_one_id_stay(spark):
+def test_unrelated_texts_under_one_id_stay(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
     text = [prose(random.Random(700 + k), 80) for k in range(4)]
     rows = [(1, text[0]), (1, text[1]), (1, text[1]), (None, text[2]), (None, text[3]), (None, text[3]), (2, text[0])]
     got = Counter((r.doc_id, r.text) for r in simhash.drop_near_duplicates(documents(spark, rows)).collect())

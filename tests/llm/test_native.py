@@ -44,7 +44,8 @@ def test_many_repeated_windows(spark):
     assert got == {k: quality(t)["n_repeat_words"] for k, t in rows}
 
 
-def test_decontamination_against_python(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_against_python(spark, monkeypatch, broadcast):
     rng = random.Random(1)
     passage, other = prose(rng, 40), prose(rng, 12)
     items = [
@@ -69,6 +70,8 @@ def test_decontamination_against_python(spark):
         (36, other + " " + passage),
         (36, other + " " + passage),
     ]
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_ENTRIES", 0)
     table = documents(spark, docs)
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, fp string")
     want = Counter()
