@@ -106,9 +106,30 @@ FROM c GROUP BY conv_id
 """
 
 
+OP6 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), r AS (
+  SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, sha1(payload) AS h,
+         min(page_id) OVER (PARTITION BY payload) AS original
+  FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string([
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)
+         FOR i IN range(32)
+       ], '') AS payload_digest,
+       CASE WHEN coalesce(page_id = original, original IS NULL) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN coalesce(page_id = original, original IS NULL) THEN NULL ELSE original END AS refers_to
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": OP1,
         "op2_quality_rules": OP2,
         "op5_chat_format": OP5,
+        "op6_warc": OP6,
     }

@@ -6,9 +6,10 @@ are joined to the cache; one text for each missing digest is encoded; the new
 counts are appended in one committed job, and a second append of the same
 digest changes nothing, so a repeated job is harmless.
 
-Defined results: a null text is empty and has no tokens; repeated rows get one
-row each; a null id stays; an empty table gives an empty result; extra columns
-are ignored.
+Defined results: a null text is empty and has no tokens; a very long text is
+encoded whole by one worker; of texts with one digest any is encoded, as they are
+equal; repeated rows get one row each; a null id stays; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
