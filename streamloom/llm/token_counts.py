@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_left_join, scratch_path
+from .common import materialize, release_memory, salted_left_join, scratch_path
 from .tokens import encoder, version_digest
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
@@ -32,6 +32,7 @@ def _counter(path: str, cut: str | None):
         own = encoder(path, cut)
         for batch in batches:
             yield pd.DataFrame({"digest": batch["digest"], "n_tokens": list(own.counts(batch["text"]))})
+        release_memory()
 
     return count
 
@@ -78,5 +79,7 @@ def count_tokens(
         .parquet(cache_path)
     )
     slim = materialize(keyed.drop("text"), "digests")
-    counted = salted_left_join(slim, stored(), "digest", F.col("doc_id"))
+    # so low that a group of copies is dealt out in small tables too, and at most 20,000 groups are
+    hot_rows = max(500, slim.count() // 20_000)
+    counted = salted_left_join(slim, stored(), "digest", F.col("doc_id"), hot_rows)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

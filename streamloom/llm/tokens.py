@@ -33,14 +33,14 @@ import pyarrow.compute as pc
 import tokenizers
 from tokenizers import Tokenizer
 
-#: Pieces whose count a worker remembers (about 50 MB); later ones are encoded again in each block.
-MEMO_PIECES = 300_000
+#: Pieces whose count a worker remembers; later ones are encoded again in each block.
+MEMO_PIECES = 1_000_000
 #: Pieces whose ids a worker remembers, in two Arrow arrays (about 40 MB).
 MEMO_IDS = 1_000_000
 #: Longer pieces are never remembered.
 MEMO_CHARS = 64
-#: Characters that are cut into pieces at one time.
-BLOCK_CHARS = 12_000_000
+#: Characters that are cut into pieces at one time, in Arrow arrays or in lists of texts.
+BLOCK_CHARS, LIST_CHARS = 12_000_000, 2_000_000
 #: New pieces that go to the library as one text.
 JOINED_PIECES = 500
 
@@ -113,11 +113,11 @@ def cut_free(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.replace_substring(parted, "\n", " "), " ")
 
 
-def blocks(texts: Iterable[str]) -> Iterator[list[str]]:
-    """Runs of consecutive texts of about BLOCK_CHARS characters, or a single longer text."""
+def blocks(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
+    """Runs of consecutive texts of about ``chars`` characters, or a single longer text."""
     block, size = [], 0
     for text in texts:
-        if block and size + len(text) > BLOCK_CHARS:
+        if block and size + len(text) > chars:
             yield block
             block, size = [], 0
         block.append(text)
@@ -198,7 +198,7 @@ class Encoder:
             yield [fresh[p] if v is None else v for p, v in zip(pieces, vs, strict=True)] if None in vs else vs
 
     def counts(self, texts: Iterable[str]) -> Iterator[int]:
-        for block in blocks(texts):
+        for block in blocks(texts, LIST_CHARS):
             if self.cut != "led":
                 yield from map(len, self._encode(block))
                 continue
@@ -246,7 +246,7 @@ class Encoder:
 
     def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian integers of ``kind``."""
-        for block in blocks(texts):
+        for block in blocks(texts, BLOCK_CHARS if self.cut == "free" else LIST_CHARS):
             if self.cut != "free":
                 yield from map(self._pack, self._encode(block))
                 continue

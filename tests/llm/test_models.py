@@ -354,6 +354,7 @@ def test_pieces_equal_the_library(path, cut, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_PIECES", 300)
     monkeypatch.setattr(tokens, "MEMO_IDS", 300)
     monkeypatch.setattr(tokens, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(tokens, "LIST_CHARS", 2000)
     rng = random.Random(7)
     parts = [".", ",", " ", "  ", "\n", "a", "B", "Z.", "é", "É.", "'s", "'S", "don't", "<|endoftext|>", "<|END", "\x1c",
              " ", "3", "12.5", "!?.", "...", "ΑΣ ", "́", "日本", "\t", "word", "Word, ", "İ", "ß", "\x85"]
