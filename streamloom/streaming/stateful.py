@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..model import micros
 from ..operators.alarm import numbers_only
 from ..plans.alarm_grammar import Alarm, Both, Leaf
+from .ordering import in_order
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _RECORD = {
@@ -40,6 +41,8 @@ _HELD = pa.schema(
         *[("ts_ns", pa.int64()), ("lwm_ns", pa.int64()), ("data", pa.string()), ("num", pa.float64()), ("which", pa.int64())],
     ]
 )
+#: Records of one key and millisecond wait in at most so many values of the state.
+HELD_SHARES = 64
 #: Waiting records of so many milliseconds are one value of the state.
 BLOCK_MS = 10_000
 
@@ -240,9 +243,39 @@ def _released(union: DataFrame, processor: _Buffered, keys: list[str]) -> DataFr
     return out.select(*map(column, _RECORD), *extra)
 
 
+def held_back(records: DataFrame, keys: list[str], columns: list[str], event_time: str = "ts", hold_ms: int = 0) -> DataFrame:
+    """``keys`` and ``columns`` of each record when the watermark has passed its time by ``hold_ms``, in no order.
+
+    Waiting records lie by key, millisecond and share of the ids, so the state is
+    spread over all tasks and an equal time fills no single value.
+    """
+    ns, ms = F.col("ts_ns"), F.lit(1_000_000)
+    due = F.call_function("div", ns - F.pmod(ns, ms), ms) + F.lit(1 + hold_ms)
+    mark = {k: v for k, v in records.schema[event_time].metadata.items() if k == "spark.watermarkDelayMs"}
+    share = F.pmod(F.xxhash64("id"), F.lit(HELD_SHARES)).alias("_share")
+    rows = records.where(F.col("ts_ns").isNotNull()).select(
+        F.timestamp_millis(due).alias("_due", metadata=mark), share, *keys, F.struct(*columns).alias("_row")
+    )
+    waiting = rows.groupBy("_due", "_share", *keys).agg(F.collect_list("_row").alias("_rows"))
+    return waiting.select(*keys, F.explode("_rows").alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in columns])
+
+
 def linearize_stream(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Records of each key in event-time order, released when the watermark has passed them."""
-    return _released(records.withColumn("which", F.lit(0).cast("long")), _Buffered(keys or ["stream_id"]), keys or ["stream_id"])
+    """Records of each key in event-time order, released when the watermark has passed them.
+
+    They wait spread over all tasks; what a batch releases of a key is one
+    partition, sorted in bounded memory.
+    """
+    keys = keys or ["stream_id"]
+    names = [*_RECORD, *[k for k in keys if k not in _RECORD]]
+    event = "_event" if "_event" in records.columns else "ts"
+    free = held_back(records, keys, [c for c in names if c not in keys], event).select(*names)
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in in_order((pa.Table.from_batches([x]) for x in batches), ["ts_ns", "id"]):
+            yield from rows.to_batches()
+
+    return free.repartition(*keys).mapInArrow(ordered, free.schema)
 
 
 def count_up(records: DataFrame, keys: list[str], event_time: str = "ts") -> DataFrame:

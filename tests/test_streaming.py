@@ -7,6 +7,7 @@ import sys
 import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from streamloom.sources import (
     with_heartbeat,
 )
 from streamloom.streaming.manager import LateRecord, Manager, Metrics
+from streamloom.streaming.ordering import in_order
 from streamloom.streaming.stateful import linearize_stream
 
 from .helpers import NS, START, seconds
@@ -109,6 +111,33 @@ def test_linearizer_releases_in_order(spark, tmp_path):
     assert got == sorted(got)
 
 
+def test_sorted_runs_lose_nothing():
+    """Runs and pieces far smaller than the rows, equal keys and nulls."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, "", "a", "é", "\U0001f600"]), n) for n in range(3000)]
+    tables = [pa.table({"t": [r[0] for r in x], "id": [r[1] for r in x], "n": [r[2] for r in x]}) for x in (rows[:900], [], rows[900:])]
+    tables = [t.cast(tables[0].schema) for t in tables]
+    want = sorted(rows, key=lambda r: [(v is None, v) for v in r])
+    for run_bytes in (1, 10_000, 1 << 20):
+        got = list(in_order(tables, ["t", "id", "n"], run_bytes, 500))
+        assert [tuple(r.values()) for t in got for r in t.to_pylist()] == want
+    assert list(in_order([], ["t"])) == []
+
+
+def test_linearizer_spreads_one_stream(spark, tmp_path):
+    """A single stream waits in the state of many tasks; a record without time waits for nothing and breaks nothing."""
+    feed(tmp_path / "in", 0, [("s", (t * 7919) % 5000, t) for t in range(5000)])
+    rows = live(spark, tmp_path / "in").withColumn("id", F.concat("id", F.lit("é")))
+    rows = rows.withColumn("ts_ns", F.when(F.col("num") != 3, F.col("ts_ns"))).withWatermark("ts", "1 second")
+    held = linearize_stream(rows)
+    got = []
+    query = fan_out(held, [lambda b, _: got.extend(b.drop("tags").collect())], str(tmp_path / "cp"), availableNow=True)
+    query.awaitTermination()
+    assert len(got) == 4997 and [r.ts_ns for r in got] == sorted(r.ts_ns for r in got)
+    state = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert max(state) > 4000  # no value of the state holds more than a few records
+
+
 def test_alarm_over_live_streams(spark, tmp_path):
     rows = [("a", 0, 20), ("b", 1, 1), ("b", 2, 1), ("a", 3, 1), ("b", 4, 1), ("a", 60, 1)]
     for n, r in enumerate(rows):
