@@ -13,7 +13,7 @@ from functools import reduce
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -43,6 +43,8 @@ _HELD = pa.schema(
 )
 #: Records of one key and millisecond wait in at most so many values of the state.
 HELD_SHARES = 64
+#: Rows that a stateful operator hands on at a time.
+FRAME_ROWS = 10_000
 #: Waiting records of so many milliseconds are one value of the state.
 BLOCK_MS = 10_000
 
@@ -180,23 +182,38 @@ class _Watch(_Buffered):
         return f"Alarm '{self.alarm.text or self.alarm}' fired with values map[{' '.join(told)}]"
 
 
+def _sorted_frames(rows: Iterator[pd.DataFrame], schema: pa.Schema, by: list[str], whole: str | None = None) -> Iterator[pd.DataFrame]:
+    """The rows of a key in order, FRAME_ROWS at a time; ``whole`` names a text column that sorts as a number."""
+
+    def table(frame: pd.DataFrame) -> pa.Table:
+        made = pa.Table.from_pandas(frame[schema.names], schema, preserve_index=False)
+        return made if whole is None else made.append_column("_place", made.column(whole).cast(pa.int64()))
+
+    for part in in_order(map(table, rows), by if whole is None else ["_place", *by]):
+        for k in range(0, len(part), FRAME_ROWS):
+            yield part.slice(k, FRAME_ROWS).select(schema.names).to_pandas()
+
+
 class _Counter(StatefulProcessor):
-    def __init__(self, names: list[str]) -> None:
-        self.names = names
+    """Numbers records of texts; ``event_time``, if any, is that column's name and its texts are microseconds in ``us``."""
+
+    def __init__(self, names: list[str], event_time: str | None) -> None:
+        self.names, self.event_time = names, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.n = handle.getValueState("n", "n bigint")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n = self.n.get()[0] if self.n.exists() else 0
-        for r in sorted(rows, key=lambda r: (r.ts_ns, r.id)):
-            n += 1
-            made = {c: r[c] for c in self.names} | {
-                "id": f"foo:{r.id}",
-                "data": f"fooized: {r.data}, state: {n}",
-                "num": None,
-            }
-            yield Row(**made)
+        schema = pa.schema([(c, pa.string()) for c in self.names])
+        for made in _sorted_frames(rows, schema, ["id"], "ts_ns"):
+            told = [f"fooized: {v}, state: {k}" for k, v in enumerate(made["data"], n + 1)]
+            n += len(made)
+            made = made.assign(id=[f"foo:{i}" for i in made["id"]], data=told)
+            if self.event_time:
+                us = pd.to_numeric(made.pop("us")).astype("int64")
+                made[self.event_time] = pd.to_datetime(us, unit="us", utc=True)
+            yield made
         self.n.update((n,))
 
     def close(self) -> None:
@@ -285,16 +302,37 @@ def count_up(records: DataFrame, keys: list[str], event_time: str = "ts") -> Dat
     can be put on top.
     """
     columns = _RECORD | {k: "string" for k in keys}
-    columns |= {"_event": "timestamp"} if "_event" in records.columns else {}
+    columns |= {"_event": "timestamp"} if event_time == "_event" else {}
     watermarked = "spark.watermarkDelayMs" in (records.schema[event_time].metadata or {})
-    return _grouped(records, keys).transformWithState(
-        statefulProcessor=_Counter(list(columns)),
-        outputStructType=_schema(columns),
+
+    # columns pass as texts, which pandas leaves as they are: null integers would become floats
+    def text(name: str) -> Column:
+        if columns[name] == "timestamp":
+            return F.unix_micros(name).cast("string")
+        return F.to_json(name) if name == "tags" else F.col(name).cast("string")
+
+    names = [c for c in columns if c != "num" and not (watermarked and c == event_time)]
+    sent = [text(c).alias(c) for c in names]
+    sent += [text(event_time).alias("us"), F.col(event_time)] if watermarked else []
+    out = _grouped(records.select(*sent), keys).transformWithStateInPandas(
+        statefulProcessor=_Counter([*names, "us"] if watermarked else names, event_time if watermarked else None),
+        outputStructType=_schema(dict.fromkeys(names, "string") | ({event_time: "timestamp"} if watermarked else {})),
         outputMode="Append",
         timeMode="EventTime" if watermarked else "None",
         **({"eventTimeColumnName": event_time} if watermarked else {}),
     )
 
+    def column(name: str) -> Column:
+        if name == "tags":
+            return F.from_json("tags", "map<string,string>").alias("tags")
+        if name == "num" or columns[name] == "bigint":
+            return (F.lit(None) if name == "num" else F.col(name)).cast(columns[name]).alias(name)
+        if columns[name] == "timestamp" and name in names:
+            return F.timestamp_micros(F.col(name).cast("long")).alias(name)
+        return F.col(name)
+
+    return out.select(*map(column, columns))
+
 
 def watch(
     alarm: Alarm, inputs: dict[str, DataFrame], stream_id: str, keys: list[str], strict: bool = False, shift_us: int = 0

@@ -7,6 +7,7 @@ import sys
 import time
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from streamloom.sources import (
     with_heartbeat,
 )
 from streamloom.streaming.manager import LateRecord, Manager, Metrics
+from streamloom.streaming import stateful
 from streamloom.streaming.ordering import in_order
 from streamloom.streaming.stateful import linearize_stream
 
@@ -124,6 +126,40 @@ def test_sorted_runs_lose_nothing():
     assert list(in_order([], ["t"])) == []
 
 
+def test_foo_hands_on_frames_in_order(spark, tmp_path):
+    """The counter's output leaves it in parts, over runs on disk; null times stay null and exact beside whole ones."""
+    frames = [pd.DataFrame({"ts_ns": [str(n * 7919 % 500) for n in range(k, k + 100)], "id": [str(n) for n in range(k, k + 100)], "data": "x"}) for k in range(0, 30_000, 100)]
+
+    class State:
+        kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, kept):
+            self.kept = kept
+
+    counter = stateful._Counter(["ts_ns", "id", "data"], None)
+    counter.n = State()
+    out = list(counter.handleInputRows(("",), iter(frames), None))
+    assert max(map(len, out)) <= stateful.FRAME_ROWS and counter.n.kept == (30_000,)
+    whole = pd.concat(out)
+    want = sorted((n * 7919 % 500, str(n)) for n in range(30_000))
+    assert list(whole["id"]) == [f"foo:{i}" for _, i in want]
+    assert list(whole["data"]) == [f"fooized: x, state: {n}" for n in range(1, 30_001)]
+    feed(tmp_path / "in", 0, [("s", t, t) for t in (2, 3, 1)])
+    rows = live(spark, tmp_path / "in").withColumn("ts_ns", F.when(F.col("num") != 2, F.col("ts_ns") + 1))
+    got = drain(Session(rows).query("foo(s)"), tmp_path, "null")
+    assert [(r.ts_ns, r.data, r.num) for r in got] == [
+        ((START + 1) * NS + 1, "fooized: 1, state: 1", None),
+        ((START + 3) * NS + 1, "fooized: 3, state: 2", None),
+        (None, "fooized: 2, state: 3", None),
+    ]
+
+
 def test_linearizer_spreads_one_stream(spark, tmp_path):
     """A single stream waits in the state of many tasks; a record without time waits for nothing and breaks nothing."""
     feed(tmp_path / "in", 0, [("s", (t * 7919) % 5000, t) for t in range(5000)])
