@@ -12,7 +12,6 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,144 +33,37 @@ _RECORD = {
     "data": "string",
     "num": "double",
 }
-#: The columns of a waiting record; tags are JSON here and ``ts`` follows from ``ts_ns``.
-_HELD = pa.schema(
-    [
-        *[(c, pa.string()) for c in ("id", "stream_id", "topic", "tags")],
-        *[("ts_ns", pa.int64()), ("lwm_ns", pa.int64()), ("data", pa.string()), ("num", pa.float64()), ("which", pa.int64())],
-    ]
-)
+#: What an alarm needs of a record.
+_JUDGED = pa.schema([("ts_ns", pa.int64()), ("id", pa.string()), ("which", pa.int64()), ("num", pa.float64())])
 #: Records of one key and millisecond wait in at most so many values of the state.
 HELD_SHARES = 64
 #: Rows that a stateful operator hands on at a time.
 FRAME_ROWS = 10_000
-#: Waiting records of so many milliseconds are one value of the state.
-BLOCK_MS = 10_000
 
 
-def _packed(rows: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _HELD) as out:
-        out.write_table(rows)
-    return sink.getvalue().to_pybytes()
-
-
-class _Buffered(StatefulProcessor):
-    """Holds records back until the watermark has passed their time, then handles them in order.
-
-    Waiting records lie in blocks of BLOCK_MS, listed in time order with the
-    earliest time in each, so a release reads the blocks it needs and stops.  A
-    key has one timer, at its earliest waiting record.
-    """
-
-    def __init__(self, keys: list[str], hold_ms: int = 0) -> None:
-        self.keys, self.hold_ms = keys, hold_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.blocks = handle.getMapState("blocks", "block bigint", "rows binary")
-        self.plan = handle.getValueState("plan", "plan string")
-
-    def _due(self, rows: pa.Table) -> pa.ChunkedArray:
-        """The watermark in milliseconds at which each row is released."""
-        return pc.add(pc.divide(rows.column("ts_ns"), 1_000_000), 1 + self.hold_ms)
-
-    def _planned(self) -> dict[int, int]:
-        found = json.loads(self.plan.get()[0]) if self.plan.exists() else {}
-        return {int(k): v for k, v in found.items()}
-
-    def _keep_plan(self, plan: dict[int, int], timer: int | None) -> None:
-        """Note the plan, and set the timer anew where its time has changed."""
-        self.plan.update((json.dumps(plan),))
-        first = min(plan.values(), default=None)
-        if first != timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            if first is not None:
-                self.handle.registerTimer(first)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = [pa.Table.from_pandas(x[_HELD.names], _HELD, preserve_index=False) for x in rows]
-        table = pa.concat_tables(parts)
-        plan = self._planned()
-        timer = min(plan.values(), default=None)
-        due = self._due(table)
-        block = pc.divide(due, BLOCK_MS)
-        for b in pc.unique(block).to_pylist():
-            here = pc.equal(block, b)
-            part = table.filter(here)
-            if b in plan:
-                part = pa.concat_tables([pa.ipc.open_stream(self.blocks.getValue((b,))[0]).read_all(), part])
-            self.blocks.updateValue((b,), (_packed(part),))
-            plan[b] = min(plan.get(b, 1 << 62), pc.min(due.filter(here)).as_py())
-        self._keep_plan(plan, timer)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        plan, ready = self._planned(), []
-        for b in sorted(plan):
-            if b * BLOCK_MS > now:
-                break
-            if plan[b] > now:
-                continue
-            rows = pa.ipc.open_stream(self.blocks.getValue((b,))[0]).read_all()
-            due = self._due(rows)
-            passed = pc.less_equal(due, now)
-            ready.append(rows.filter(passed))
-            later = rows.filter(pc.invert(passed))
-            if len(later):
-                self.blocks.updateValue((b,), (_packed(later),))
-                plan[b] = pc.min(due.filter(pc.invert(passed))).as_py()
-            else:
-                self.blocks.removeKey((b,))
-                del plan[b]
-        self._keep_plan(plan, None)
-        if ready:
-            rows = pa.concat_tables(ready).sort_by([(c, "ascending") for c in ("ts_ns", "id", "which")])
-            out = self.released(key, rows.to_pandas())
-            if len(out):
-                yield out.assign(**dict(zip(self.keys, key, strict=False)))
-
-    def released(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.drop(columns="which")
-
-    def close(self) -> None:
-        pass
-
-
-class _Watch(_Buffered):
+class _Watch(StatefulProcessor):
     """Judges an alarm at each released record on the last values of every stream."""
 
-    def __init__(self, alarm: Alarm, names: list[str], stream_id: str, keys: list[str], hold_ms: int) -> None:
-        super().__init__(keys, hold_ms)
-        self.alarm, self.names, self.stream_id = alarm, names, stream_id
+    def __init__(self, alarm: Alarm, names: list[str], stream_id: str, keys: list[str]) -> None:
+        self.alarm, self.names, self.stream_id, self.keys = alarm, names, stream_id, keys
         self.far = max(1, *(leaf.periods for leaf in alarm.leaves()))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
         self.last = handle.getValueState("last", "v string")
 
-    def released(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = json.loads(self.last.get()[0]) if self.last.exists() else {n: [] for n in self.names}
-        fired, told = [], []
-        for place, (k, num) in enumerate(zip(rows["which"].tolist(), rows["num"].tolist(), strict=True)):
-            name = self.names[k]
-            last[name] = [*last[name], num][-self.far :]
-            if holds(self.alarm.tree, last):
-                fired.append(place)
-                told.append(self._message(last))
+        for frame in _sorted_frames(rows, _JUDGED, ["ts_ns", "id", "which"]):
+            fired = []
+            for ns, i, k, num in zip(*(frame[c].tolist() for c in _JUDGED.names), strict=True):
+                name = self.names[k]
+                last[name] = [*last[name], num][-self.far :]
+                if holds(self.alarm.tree, last):
+                    fired.append((f"{self.stream_id}@{k}@{i}", ns, self._message(last)))
+            if fired:
+                made = pd.DataFrame(fired, columns=["id", "ts_ns", "data"])
+                yield made.assign(**dict(zip(self.keys, key, strict=False)))
         self.last.update((json.dumps(last),))
-        made = rows.iloc[fired]
-        return made.assign(
-            id=[f"{self.stream_id}@{k}@{i}" for k, i in zip(made["which"], made["id"], strict=True)],
-            stream_id=self.stream_id,
-            topic=self.stream_id,
-            tags="{}",
-            lwm_ns=made["ts_ns"],
-            data=told,
-            num=None,
-        ).drop(columns="which")
 
     def _message(self, last: dict[str, list[float]]) -> str:
         told = []
@@ -181,6 +73,9 @@ class _Watch(_Buffered):
             told.append(f"{stream}:[{' '.join(map(str, values))}]")
         return f"Alarm '{self.alarm.text or self.alarm}' fired with values map[{' '.join(told)}]"
 
+    def close(self) -> None:
+        pass
+
 
 def _sorted_frames(rows: Iterator[pd.DataFrame], schema: pa.Schema, by: list[str], whole: str | None = None) -> Iterator[pd.DataFrame]:
     """The rows of a key in order, FRAME_ROWS at a time; ``whole`` names a text column that sorts as a number."""
@@ -239,42 +134,24 @@ def _schema(columns: dict[str, str]) -> str:
     return ", ".join(f"{c} {kind}" for c, kind in columns.items())
 
 
-def _released(union: DataFrame, processor: _Buffered, keys: list[str]) -> DataFrame:
-    """Run ``processor`` on records whose ``which`` numbers their stream; its records with ``keys``."""
-    seen = [c for c in ("ts", "_event") if c in union.columns]  # they carry the watermark
-    extra = [k for k in keys if k not in _RECORD]
-    rows = union.select(*[F.to_json("tags").alias("tags") if c == "tags" else c for c in _HELD.names], *extra, *seen)
-    own = {c: k for c, k in _RECORD.items() if c not in ("tags", "ts")} | {"tags": "string"}
-    out = _grouped(rows, keys).transformWithStateInPandas(
-        statefulProcessor=processor,
-        outputStructType=_schema(own | dict.fromkeys(extra, "string")),
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-
-    def column(name: str) -> Column:
-        if name == "tags":
-            return F.from_json("tags", "map<string,string>").alias("tags")
-        return micros(F.col("ts_ns")).alias("ts") if name == "ts" else F.col(name)
-
-    return out.select(*map(column, _RECORD), *extra)
-
-
-def held_back(records: DataFrame, keys: list[str], columns: list[str], event_time: str = "ts", hold_ms: int = 0) -> DataFrame:
+def held_back(inputs: list[DataFrame], keys: list[str], columns: list[str], hold_ms: int = 0) -> DataFrame:
     """``keys`` and ``columns`` of each record when the watermark has passed its time by ``hold_ms``, in no order.
 
     Waiting records lie by key, millisecond and share of the ids, so the state is
     spread over all tasks and an equal time fills no single value.
     """
     ns, ms = F.col("ts_ns"), F.lit(1_000_000)
-    due = F.call_function("div", ns - F.pmod(ns, ms), ms) + F.lit(1 + hold_ms)
-    mark = {k: v for k, v in records.schema[event_time].metadata.items() if k == "spark.watermarkDelayMs"}
+    due = F.timestamp_millis(F.call_function("div", ns - F.pmod(ns, ms), ms) + F.lit(1 + hold_ms))
     share = F.pmod(F.xxhash64("id"), F.lit(HELD_SHARES)).alias("_share")
-    rows = records.where(F.col("ts_ns").isNotNull()).select(
-        F.timestamp_millis(due).alias("_due", metadata=mark), share, *keys, F.struct(*columns).alias("_row")
-    )
-    waiting = rows.groupBy("_due", "_share", *keys).agg(F.collect_list("_row").alias("_rows"))
-    return waiting.select(*keys, F.explode("_rows").alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in columns])
+
+    def waiting(records: DataFrame) -> DataFrame:
+        found = records.schema["_event" if "_event" in records.columns else "ts"].metadata
+        mark = {k: v for k, v in found.items() if k == "spark.watermarkDelayMs"}
+        rows = records.where(ns.isNotNull())
+        return rows.select(due.alias("_due", metadata=mark), share, *keys, F.struct(*columns).alias("_row"))
+
+    rows = reduce(DataFrame.unionByName, map(waiting, inputs)).groupBy("_due", "_share", *keys).agg(F.collect_list("_row").alias("_rows"))
+    return rows.select(*keys, F.explode("_rows").alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in columns])
 
 
 def linearize_stream(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -285,8 +162,7 @@ def linearize_stream(records: DataFrame, keys: list[str] | None = None) -> DataF
     """
     keys = keys or ["stream_id"]
     names = [*_RECORD, *[k for k in keys if k not in _RECORD]]
-    event = "_event" if "_event" in records.columns else "ts"
-    free = held_back(records, keys, [c for c in names if c not in keys], event).select(*names)
+    free = held_back([records], keys, [c for c in names if c not in keys]).select(*names)
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in in_order((pa.Table.from_batches([x]) for x in batches), ["ts_ns", "id"]):
@@ -344,11 +220,27 @@ def watch(
     are one state and one task, as each of them may decide.
     """
     names = sorted(inputs)
-    wanted = [c for c in _RECORD if c != "ts"]
-    rows = [
-        inputs[n].select(*wanted, *keys, *[c for c in ("ts", "_event") if c in inputs[n].columns]).withColumn("which", F.lit(i).cast("long"))
-        for i, n in enumerate(names)
-    ]
-    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    union = numbers_only(union) if strict else union.where(F.col("num").isNotNull())
-    return _released(union, _Watch(alarm, names, stream_id, keys, -(-shift_us // 1000)), keys)
+
+    def numbers(records: DataFrame) -> DataFrame:
+        return numbers_only(records) if strict else records.where(F.col("num").isNotNull())
+
+    rows = [numbers(inputs[n]).withColumn("which", F.lit(i).cast("long")) for i, n in enumerate(names)]
+    free = held_back(rows, keys, _JUDGED.names, -(-shift_us // 1000))
+    fired = _grouped(free, keys).transformWithStateInPandas(
+        statefulProcessor=_Watch(alarm, names, stream_id, keys),
+        outputStructType=_schema({"id": "string", "ts_ns": "bigint", "data": "string"} | dict.fromkeys(keys, "string")),
+        outputMode="Append",
+        timeMode="None",
+    )
+    return fired.select(
+        "id",
+        F.lit(stream_id).alias("stream_id"),
+        F.lit(stream_id).alias("topic"),
+        F.create_map().cast("map<string,string>").alias("tags"),
+        "ts_ns",
+        micros(F.col("ts_ns")).alias("ts"),
+        F.col("ts_ns").alias("lwm_ns"),
+        "data",
+        F.lit(None).cast("double").alias("num"),
+        *keys,
+    )

@@ -184,6 +184,21 @@ def test_alarm_over_live_streams(spark, tmp_path):
     assert got[0].data.endswith("fired with values map[a:[20.0] b:[1.0]]")
 
 
+@pytest.mark.parametrize("expression", ["alarm(s > 5 times 2)", "match(s by k in alarm(%s > 5 times 2))"])
+def test_alarm_inputs_wait_in_many_states(spark, tmp_path, expression):
+    """Records of one key wait spread out, each alone; one without time is passed over."""
+    feed(tmp_path / "in", 0, [("s{k=a}", (t * 7919) % 3000, t % 10) for t in range(3000)] + [("s{k=a}", 1, 77)])
+    rows = live(spark, tmp_path / "in").withColumn("ts_ns", F.when(F.col("num") != 77, F.col("ts_ns")))
+    records = Session(rows).query(expression, watermark="0 seconds")
+    got = []
+    query = fan_out(records, [lambda b, _: got.extend(b.drop("tags").collect())], str(tmp_path / "cp"), availableNow=True)
+    query.awaitTermination()
+    values = dict(((t * 7919) % 3000, t % 10) for t in range(3000))
+    assert sorted(seconds(r.ts_ns) for r in got) == [t for t in range(1, 2999) if values[t] > 5 and values[t - 1] > 5]
+    state = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert max(state) > 2500
+
+
 def test_dedup_live(spark, tmp_path):
     feed(tmp_path / "in", 0, [("s", 1, 1), ("s", 2, 1)])
     rows = live(spark, tmp_path / "in").withWatermark("ts", "1 minute")
